@@ -97,7 +97,7 @@ def search_block(train: pd.DataFrame, shard: pd.DataFrame, k: int, least: float,
     """Pairs of a block of training classes and a shard of evaluation classes that share enough windows."""
     out: list[pd.DataFrame] = []
     if len(train) and len(shard):
-        seqs, evals = list(train["seq"]), list(shard["seq"])
+        seqs, evals = list(train["train_seq"]), list(shard["eval_seq"])
         index = FullTextIndex(evals)
         owner, code = _windows(seqs, k)
         lo, hi = index.intervals(code, k)
@@ -125,7 +125,7 @@ def search_block(train: pd.DataFrame, shard: pd.DataFrame, k: int, least: float,
             out.append(
                 pd.DataFrame(
                     {
-                        "train_class": train["class_id"].to_numpy()[t], "eval_class": shard["class_id"].to_numpy()[e], "shared": shared.astype(np.int64),
+                        "train_class": train["train_class"].to_numpy()[t], "eval_class": shard["eval_class"].to_numpy()[e], "shared": shared.astype(np.int64),
                         "containment": shared / np.minimum(n_train[t], n_eval[e]),
                         "covered": np.array([s[0] for s in spans], np.int64), "longest": np.array([s[1] for s in spans], np.int64),
                     }
@@ -156,11 +156,11 @@ def alike_across(
     blocks = max(1, ceil(letters / block_letters), min(ceil(letters / 1_000_000), ceil(parallelism(spark) / shards)))
     deal = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
     every = lambda n, name: F.explode(F.array(*[F.lit(i) for i in range(n)])).alias(name)
-    left = train.where(F.length("seq") >= k).select("class_id", "seq", deal(blocks).alias("block"), every(shards, "shard"))
-    right = held_out.where(F.length("seq") >= k).select("class_id", "seq", deal(shards).alias("shard"), every(blocks, "block"))
+    left = train.where(F.length("seq") >= k).select(F.col("class_id").alias("train_class"), F.col("seq").alias("train_seq"), deal(blocks).alias("train_block"), every(shards, "train_shard"))
+    right = held_out.where(F.length("seq") >= k).select(F.col("class_id").alias("eval_class"), F.col("seq").alias("eval_seq"), every(blocks, "eval_block"), deal(shards).alias("eval_shard"))
     schema = "train_class bigint, eval_class bigint, shared bigint, containment double, covered bigint, longest bigint"
-    task = ["shard", "block"]
-    return left.groupBy(*task).cogroup(right.groupBy(*task)).applyInPandas(lambda a, b: search_block(a, b, k, least), schema)
+    tasks = left.groupBy("train_shard", "train_block").cogroup(right.groupBy("eval_shard", "eval_block"))
+    return tasks.applyInPandas(lambda a, b: search_block(a, b, k, least), schema)
 
 
 def cross_split_pairs(df: DataFrame, row: str, ident: Column, seq: Column, split: Column, k: int = 5, least: float = 0.8, extra: tuple[str, ...] = ()) -> DataFrame:
