@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oodmill.functions.dates import lenient_date
 from oodmill.functions.identifiers import BLANK, accession, accessions, entry_code, letters, sample_id, split_name
-from oodmill.llm import fusion, grouping, neardup, overlap, terms
+from oodmill.llm import fusion, grouping, leakage, neardup, overlap, packing, terms
 from oodmill.session import cut, table
 
 
@@ -114,5 +114,33 @@ def p6_terms(spark: SparkSession, sf: str) -> DataFrame:
     return terms.term_verdicts(table(spark, sf, "sample_multilabel"), terms.label_terms(F.col("label")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p6_found, p6_terms)}
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = {r["container_kind"]: r["capacity_tokens"] for r in table(spark, sf, "pack_capacities").collect()}
+    return packing.pack(table(spark, sf, "documents"), "doc_id", "text", kinds)
+
+
+def p7_room(spark: SparkSession, sf: str) -> DataFrame:
+    """Per container kind: containers, tokens held and the share of their room left unused."""
+    kinds = table(spark, sf, "pack_capacities").select("container_kind", "capacity_tokens")
+    boxes = p7_containers(spark, sf).groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("held"))
+    room = F.count("*") * F.first("capacity_tokens")
+    return boxes.join(F.broadcast(kinds), "container_kind").groupBy("container_kind").agg(
+        F.count("*").alias("containers"), F.sum("held").alias("tokens"), F.round(1 - F.sum("held") / room, 6).alias("unused_share")
+    )
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p8_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that disclose no test item."""
+    return leakage.without_leaks(table(spark, sf, "documents"), "doc_id", _leaks(spark, sf)).select("doc_id", "source", "doc_kind", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p6_found, p6_terms, p7_containers, p7_room, p8_found, p8_clean_documents)}
 ORACLES: dict[str, str] = {}
