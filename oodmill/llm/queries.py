@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oodmill.functions.dates import lenient_date
 from oodmill.functions.identifiers import BLANK, accession, accessions, entry_code, letters, sample_id, split_name
-from oodmill.llm import fusion, grouping, leakage, neardup, overlap, packing, terms
+from oodmill.llm import fusion, grouping, leakage, neardup, overlap, packing, pii, terms
 from oodmill.session import cut, table
 
 
@@ -142,5 +142,13 @@ def p8_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf, "documents"), "doc_id", _leaks(spark, sf)).select("doc_id", "source", "doc_kind", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p6_found, p6_terms, p7_containers, p7_room, p8_found, p8_clean_documents)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.mentions(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "pii_type", "start_char")
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redacted(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p6_found, p6_terms, p7_containers, p7_room, p8_found, p8_clean_documents, p9_found, p9_redacted)}
 ORACLES: dict[str, str] = {}
