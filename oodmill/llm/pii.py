@@ -217,7 +217,7 @@ def checked(text: str, start: int, end: int, kind: int) -> tuple[int, int] | Non
     digits = sum(c.isdigit() for c in text[start:end])
     if name == "phone" and digits < 7 or name == "id_number" and digits < 5 or name == "address" and digits < 1:
         return None
-    if name == "name" and (digits or end - start < 3):
+    if name == "name" and (digits or end - start < 3 or text[start].islower() and not re.search(r"\s", text[start:end])):
         return None
     return start, end
 
