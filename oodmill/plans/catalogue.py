@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oodmill.plans import quality
+from oodmill.plans import content, novelty, quality, relational, retention
 
-MODULES = [quality]
+MODULES = [relational, novelty, content, retention, quality]
 
 
 def queries() -> dict:
