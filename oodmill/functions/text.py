@@ -62,8 +62,7 @@ def affinity(c: Column) -> Column:
     pattern = r"^(Kd|Ki|IC50|EC50)\s*([=<>~]|<=|>=)\s*([0-9.]+(?:[eE][-+]?\d+)?)\s*(fM|pM|nM|uM|mM|M)$"
     part = lambda k: F.regexp_extract(c, pattern, k)
     scale = F.create_map(*[F.lit(x) for kv in MOLAR.items() for x in kv])
-    value = F.try_to_number(F.lit(None).cast("string"), F.lit("9")) if False else part(3).try_cast("double")
-    p = -F.log10(value * F.element_at(scale, F.when(part(4) != "", part(4)).otherwise("M")))
+    p = -F.log10(part(3).try_cast("double") * F.element_at(scale, F.when(part(4) != "", part(4)).otherwise("M")))
     return F.when(c.rlike(pattern), F.struct(part(1).alias("kind"), part(2).alias("relation"), p.alias("p")))
 
 
@@ -85,7 +84,9 @@ def words(c: Column) -> Column:
 def keyword_ngrams(c: Column) -> Column:
     """Distinct one- and two-word keywords: hyphens part words, one-letter words are dropped."""
     w = F.filter(words(c), lambda x: F.length(x) > 1)
-    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.element_at(w, i + 2)))
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    # both halves are arrays of their own: a lambda that looked back into w would split the text again for each word
+    pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat_ws(" ", x, y))
     return F.array_distinct(F.concat(w, pairs))
 
 

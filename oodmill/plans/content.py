@@ -72,7 +72,7 @@ def affinity_parse(spark: SparkSession, sf: str) -> DataFrame:
     return a.groupBy("kind", "relation").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), w -> w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
 
 
 @query(f"""
@@ -93,15 +93,15 @@ def tfidf_l2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-with w as (select doc_id, list_filter({_WORDS}, w -> length(w) > 1) as w from documents where text is not null),
-g as (select doc_id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])))) as k from w)
+with w as (select doc_id, list_filter({_WORDS}, lambda w: length(w) > 1) as w from documents where text is not null),
+g as (select doc_id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) as k from w)
 select k as keyword, count(*) as docs from g group by k""")
 def bigram_keywords(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("text is not null")
     return docs.select(F.explode(text.keyword_ngrams(F.col("text"))).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("docs"))
 
 
-_BITS = "list_filter(range(0, len(embedding)), i -> embedding[i + 1] > 0)"
+_BITS = "list_filter(range(0, len(embedding)), lambda i: embedding[i + 1] > 0)"
 
 
 @query(f"""
@@ -114,7 +114,7 @@ def tanimoto_max_to_ref(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.best_reference(e.where("vec_id % 100 = 0"), e, "vec_id", "bits").select("vec_id", F.round("best", 6).alias("best"))
 
 
-_TOP = "list_slice(list_transform(list_reverse_sort(list_transform(range(1, len(embedding) + 1), i -> {'v': embedding[i], 'i': i})), x -> x.i), 1, 12)"
+_TOP = "list_slice(list_transform(list_reverse_sort(list_transform(range(1, len(embedding) + 1), lambda i: {'v': embedding[i], 'i': i})), lambda x: x.i), 1, 12)"
 
 
 def _top_bits(e: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def negative_sampling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with k as (select row_id, task, list_distinct(list_transform(range(1, greatest(length(aa_seq) - 1, 1)), i -> substr(aa_seq, i, 3))) as k from sample_multilabel where length(aa_seq) >= 3)
+with k as (select row_id, task, list_distinct(list_transform(range(1, greatest(length(aa_seq) - 1, 1)), lambda i: substr(aa_seq, i, 3))) as k from sample_multilabel where length(aa_seq) >= 3)
 select task, count(*) as rows, sum(len(k)) as kmers from k group by task""")
 def kmer_sets(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "sample_multilabel").where(F.length("aa_seq") >= 3).select("task", F.size(similarity.kmers(F.col("aa_seq"), 3)).alias("k"))

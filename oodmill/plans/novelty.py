@@ -261,7 +261,7 @@ _LADDER_ON = [90, 70, 50, 30]
 
 @query(f"""
 with o as (select *, row_number() over (order by o_orderdate, o_orderkey) as rn, count(*) over () as n from orders),
-t as (select o_orderkey, o_totalprice, o_custkey from o where rn > floor(n * (0.72 + 0.08))), r as (select avg(o_totalprice) as m from o where rn <= floor(n * 0.72)),
+t as (select o_orderkey, o_totalprice, o_custkey from o where rn > floor(n * (0.72::double + 0.08::double))), r as (select avg(o_totalprice) as m from o where rn <= floor(n * 0.72)),
 h as (select query, max(score) as best from ({HITS}) group by query),
 f as (select t.*, {', '.join(f'coalesce(best, 0) < {c} as s{c}' for c in _LADDER_ON)}, best is null as orphan from t left join h on query = o_orderkey),
 l as (select *, 'all' as subset from f {' '.join(f"union all select *, 'seq_redundancy_{c}' from f where s{c}" for c in _LADDER_ON)} union all select *, 'ood_orphan' from f where orphan

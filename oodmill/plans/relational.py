@@ -90,7 +90,7 @@ def unordered_pair_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 with o as (select *, row_number() over (order by o_orderdate, o_orderkey) as rn, count(*) over () as n from orders)
-select o_orderkey, case when rn <= floor(n * 0.72) then 'train' when rn <= floor(n * (0.72 + 0.08)) then 'val' else 'test' end as split from o""")
+select o_orderkey, case when rn <= floor(n * 0.72) then 'train' when rn <= floor(n * (0.72::double + 0.08::double)) then 'val' else 'test' end as split from o""")
 def time_split_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Positional 72:8:20 split over time; positions come from range partitions, not one global window."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
@@ -114,7 +114,7 @@ def time_split_cutoff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rn, count(*) over (partition by o_custkey) as n from orders)
-select o_orderkey, case when rn <= floor(n * 0.7) then 'train' when rn <= floor(n * (0.7 + 0.1)) then 'val' else 'test' end as split from o""")
+select o_orderkey, case when rn <= floor(n * 0.7) then 'train' when rn <= floor(n * (0.7::double + 0.1::double)) then 'val' else 'test' end as split from o""")
 def cluster_time_split(spark: SparkSession, sf: str) -> DataFrame:
     """Positional split inside each cluster in time order; the positions survive clusters of any size."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -140,7 +140,7 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 with g as (select o_custkey, row_number() over (order by md5('7:' || o_custkey::varchar), o_custkey) as rn, count(*) over () as n from (select distinct o_custkey from orders)),
-s as (select o_custkey, case when rn <= floor(n * 0.7) then 'train' when rn <= floor(n * (0.7 + 0.1)) then 'val' else 'test' end as split from g)
+s as (select o_custkey, case when rn <= floor(n * 0.7) then 'train' when rn <= floor(n * (0.7::double + 0.1::double)) then 'val' else 'test' end as split from g)
 select split, count(*) as n, count(distinct o_custkey) as groups from orders join s using (o_custkey) group by split""")
 def group_hash_split(spark: SparkSession, sf: str) -> DataFrame:
     """Whole groups to splits 7:1:2 in hash order."""
@@ -258,7 +258,7 @@ def tumbling_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with m as (select user_id, epoch(ts)::bigint // 60 as minute from events), d as (select distinct user_id, minute from m),
+with m as (select user_id, floor(epoch(ts) / 60)::bigint as minute from events), d as (select distinct user_id, minute from m),
 f as (select *, case when minute - lag(minute) over (partition by user_id order by minute) <= 5 then 0 else 1 end as new from d),
 g as (select *, sum(new) over (partition by user_id order by minute) as grp from f)
 select user_id, min(minute) as start_minute, max(minute) as end_minute, count(*) as n from g group by user_id, grp""")

@@ -54,7 +54,7 @@ r as (select k, dataset, row_number() over w as pos, sum(e) over w as ce, sum(e0
   window w as (partition by k, dataset order by md5(k::varchar || ':' || row_id::varchar), row_id rows unbounded preceding)),
 h as (select dataset, count(*) as have from s where in_pool group by 1), a as (select avg(e) as ae, avg(e0) as ae0 from s where in_pool),
 n as (select seq_rank, str_rank, scenario, dataset, count(*) as n, sum(e) as se, sum(e0) as se0 from s where not in_pool group by all),
-c as (select n.*, k, case when have is null then ae * n.n else ce end as ce, case when have is null then ae0 * n.n else ce0 end as ce0, coalesce(least(n.n, have), n.n) as pos
+c as (select n.*, kk.k as k, case when have is null then ae * n.n else ce end as ce, case when have is null then ae0 * n.n else ce0 end as ce0, coalesce(least(n.n, have), n.n) as pos
   from n left join h on h.dataset = n.dataset, a, (select unnest(range(1, {DRAWS + 1})) as k) kk left join r on r.k = kk.k and r.dataset = n.dataset and r.pos = least(n.n, have)),
 q as (select seq_rank, str_rank, scenario, k, sum(ce) as ce, sum(ce0) as ce0, sum(pos) as cn, sum(n) as n, sum(se) as se, sum(se0) as se0 from c group by all)
 select seq_rank, str_rank, scenario, any_value(n) as n, round(any_value(se / n), 5) as m, round(any_value(se0 / n), 5) as m0, round(avg(ce / cn), 5) as b, round(avg(ce0 / cn), 5) as b0
