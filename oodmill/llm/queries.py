@@ -151,4 +151,38 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p6_found, p6_terms, p7_containers, p7_room, p8_found, p8_clean_documents, p9_found, p9_redacted)}
-ORACLES: dict[str, str] = {}
+_ACC = "[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){2}"
+_ONE = f"(?:^|[^A-Z0-9])({_ACC})(?:[^A-Z0-9]|$)"
+_LETTERS = "regexp_replace(upper(aa_seq), '[^A-Z]', '', 'g')"
+_WINDOWS = f"""s as (select row_id, lower(trim(split, E' \\t\\n\\r')) as split, trim(unique_id, E' \\t\\n\\r') as u, {_LETTERS} as q from sample_multilabel),
+w as (select row_id, split, unnest(list_distinct(list_transform(range(1, length(q) - 3), lambda i: substr(q, i, 5)))) as w from s where length(q) >= 5), n as (select row_id, count(*) as n from w group by 1)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": f"""
+with c as (select *, nullif(regexp_extract(upper(protein_a_id), '{_ONE}', 1), '') as a, nullif(regexp_extract(upper(protein_b_id), '{_ONE}', 1), '') as b,
+  regexp_extract_all(upper(representative_id), '{_ACC}') as rep, regexp_extract_all(upper(pair_key), '{_ACC}') as old, trim(release_date) as d from ppi_pairs_corrected_seq95
+  where not coalesce(upper(trim(protein_a_id)) = 'UNDEFINED', false) and not coalesce(upper(trim(protein_b_id)) = 'UNDEFINED', false)),
+k as (select row_id, list_sort(case when a is not null and b is not null then [a, b] when len(rep) = 2 then rep when len(old) = 2 then old end) as two,
+  case when structure_priority between 0 and 3 then structure_priority end as p, case when resolution between 0.4 and 15 then resolution end as r,
+  try_strptime(case when regexp_matches(d, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') then left(d, 10) else d end, ['%Y-%m-%d', '%Y/%m/%d', '%Y%m%d', '%d-%b-%y', '%d %b %Y']) as day from c),
+v as (select two[1] || '__' || two[2] as pair_key, row_id, p, r, case when year(day) between 1976 and 2025 then day end as day from k where two is not null)
+select pair_key, first(row_id order by p desc nulls last, r nulls last, day desc nulls last, row_id) as row_id, coalesce(first(row_id order by r, row_id) filter (r is not null), 0) as resolution_row_id,
+  coalesce(first(row_id order by day desc, row_id) filter (day is not null), 0) as release_row_id from v group by 1 having count(*) > 1""".replace("\\\\d", "\\d"),
+    "p2_found": f"""
+with {_WINDOWS}, t as (select * from w where split = 'train'), e as (select * from w where split in ('val', 'test')),
+p as (select t.row_id as x, e.row_id as y, count(*) as s from t join e on t.w = e.w group by all),
+i as (select row_id, split, case when regexp_matches(u, '^[1-9][A-Za-z0-9]{{5}}_') then lower(left(u, 6)) || substr(u, 7) else u end as u from s where u <> ''),
+f as (select x, y from p join n a on a.row_id = x join n b on b.row_id = y where s >= 0.8 * least(a.n, b.n) - 1e-9
+  union select a.row_id, b.row_id from i a join i b on a.u = b.u where a.split = 'train' and b.split in ('val', 'test'))
+select least(x, y) as row_id_a, greatest(x, y) as row_id_b from f""",
+    "p3_found": f"""
+with {_WINDOWS}, p as (select x.row_id as a, y.row_id as b, count(*) as s from w x join w y on x.w = y.w and x.row_id < y.row_id group by all)
+select a as row_id_a, b as row_id_b from p join n x on x.row_id = a join n y on y.row_id = b where s >= 0.6 * (x.n + y.n - s) - 1e-9""",
+    "p6_found": """
+with t as (select row_id, regexp_replace(unnest(regexp_split_to_array(lower(label), '[;,|]')), '\\s+', '', 'g') as t from sample_multilabel where label is not null),
+g as (select row_id, regexp_extract(t, '^(?:go)?[:_-]*(\\d{7})$', 1) as go, regexp_replace(t, '^ec[:_-]*', '') as ec from t),
+c as (select distinct row_id, case when go <> '' then 'GO:' || go when regexp_matches(ec, '^[1-9]\\d*(\\.(\\d+|n\\d+|-)?){0,3}$') then
+  array_to_string(list_slice(list_concat(list_filter(string_split(ec, '.'), lambda p: p not in ('', '-')), ['-', '-', '-', '-']), 1, 4), '.') end as term from g),
+n as (select term, count(*) as n from c where term is not null group by 1), r as (select count(distinct row_id) as r from c where term is not null)
+select term, case when n < 3 then 'rare' else 'common' end as verdict from n, r where n < 3 or n > 0.05 * r""".replace("\\\\", "\\"),
+}
