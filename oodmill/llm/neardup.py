@@ -23,7 +23,8 @@ def window_codes(seq: str, k: int) -> np.ndarray:
     code = letters[: len(letters) - k + 1].copy()
     for i in range(1, k):
         code = code * 26 + letters[i : len(letters) - k + 1 + i]
-    return np.unique(code)
+    code.sort()
+    return code[np.r_[True, code[1:] != code[:-1]]]
 
 
 def _hashes(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,12 @@ SORTED = 12  # letters by which suffixes are ordered: 12 letters of 5 bits fill
 SIGMA = 27
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Sorting in place beats numpy's hashing unique many times over on millions of numbers."""
+    values.sort()
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 class FullTextIndex:
     """Burrows-Wheeler index of many sequences, suffixes ordered by their first SORTED letters.
 
@@ -54,7 +60,7 @@ class FullTextIndex:
         """Interval of each pattern (base-26 code of k letters) by backward search; common suffixes are walked once."""
         known, lo, hi = np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, self.size, np.int64)
         for length in range(1, k + 1):
-            tails = np.unique(codes % 26**length)
+            tails = distinct(codes % 26**length)
             parent = np.searchsorted(known, tails % 26 ** (length - 1))
             c = tails // 26 ** (length - 1) + 1
             lo, hi = self.first[c] + self.rank(c, lo[parent]), self.first[c] + self.rank(c, hi[parent])
@@ -75,7 +81,7 @@ def _windows(seqs: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(1, k):
         code = code * 26 + text[i : n + i]
     inside = owner[:n] == owner[k - 1 :]
-    both = np.unique(owner[:n][inside] * 26**k + code[inside])
+    both = distinct(owner[:n][inside] * 26**k + code[inside])
     return both // 26**k, both % 26**k
 
 
@@ -93,7 +99,7 @@ def _spans(a: str, b: str, k: int) -> tuple[int, int]:
     return covered + end - start, longest
 
 
-def search_block(train: pd.DataFrame, shard: pd.DataFrame, k: int, least: float, hits_at_once: int = 4_000_000) -> pd.DataFrame:
+def search_block(train: pd.DataFrame, shard: pd.DataFrame, k: int, least: float, hits_at_once: int = 2_000_000) -> pd.DataFrame:
     """Pairs of a block of training classes and a shard of evaluation classes that share enough windows."""
     out: list[pd.DataFrame] = []
     if len(train) and len(shard):
@@ -116,8 +122,11 @@ def search_block(train: pd.DataFrame, shard: pd.DataFrame, k: int, least: float,
             place = np.repeat(lo[at:end] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
             query = np.repeat(np.arange(at, end), size)
             # a window that an evaluation sequence has twice counts once
-            once = np.unique(query * len(evals) + index.owner[place])
-            pair, shared = np.unique(owner[once // len(evals)] * len(evals) + once % len(evals), return_counts=True)
+            once = distinct(query * len(evals) + index.owner[place])
+            pair = owner[once // len(evals)] * len(evals) + once % len(evals)
+            pair.sort()
+            start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, np.int64)
+            pair, shared = pair[start], np.diff(np.r_[start, len(pair)])
             t, e = pair // len(evals), pair % len(evals)
             keep = shared >= least * np.minimum(n_train[t], n_eval[e]) - 1e-9
             t, e, shared = t[keep], e[keep], shared[keep]
@@ -139,7 +148,7 @@ FOUND = {"train_class": "int64", "eval_class": "int64", "shared": "int64", "cont
 
 
 def alike_across(
-    train: DataFrame, held_out: DataFrame, k: int = 5, least: float = 0.8, shard_letters: int = 4_000_000, block_letters: int = 6_000_000
+    train: DataFrame, held_out: DataFrame, k: int = 5, least: float = 0.8, shard_letters: int = 4_000_000, block_letters: int = 3_000_000
 ) -> DataFrame:
     """Pairs (train_class, eval_class, shared, containment, covered, longest) of distinct sequences, where at least
     `least` of the distinct k-letter windows of the sequence with fewer of them occur in the other.
@@ -159,6 +168,9 @@ def alike_across(
     left = train.where(F.length("seq") >= k).select(F.col("class_id").alias("train_class"), F.col("seq").alias("train_seq"), deal(blocks).alias("train_block"), every(shards, "train_shard"))
     right = held_out.where(F.length("seq") >= k).select(F.col("class_id").alias("eval_class"), F.col("seq").alias("eval_seq"), every(blocks, "eval_block"), deal(shards).alias("eval_shard"))
     schema = "train_class bigint, eval_class bigint, shared bigint, containment double, covered bigint, longest bigint"
+    # a stated number of partitions is not coalesced: one task a shard and block, as far as hashing allows
+    places = 2 * shards * blocks
+    left, right = left.repartition(places, "train_shard", "train_block"), right.repartition(places, "eval_shard", "eval_block")
     tasks = left.groupBy("train_shard", "train_block").cogroup(right.groupBy("eval_shard", "eval_block"))
     return tasks.applyInPandas(lambda a, b: search_block(a, b, k, least), schema)
 
