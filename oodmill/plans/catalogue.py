@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oodmill.plans import content, novelty, quality, relational, retention
+from oodmill.plans import content, curation, novelty, quality, relational, retention
 
-MODULES = [relational, novelty, content, retention, quality]
+MODULES = [relational, novelty, content, curation, retention, quality]
 
 
 def queries() -> dict:
