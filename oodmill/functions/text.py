@@ -33,7 +33,7 @@ def clean_drop(c: Column) -> Column:
 
 def tokens(c: Column, separators: str = ";") -> Column:
     """Trimmed distinct tokens in first-seen order, empty ones dropped; NULL gives NULL."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, f"[{separators}]"), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, f"[{separators}]"), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def code_prefix(c: Column, k: int) -> Column:
