@@ -229,7 +229,7 @@ def test_quality_issues(spark):
     got = Counter(map(tuple, profile.quality_issues(flags(spark, rows), {"flag": "True|False", "chain": "[A-Za-z0-9]{1,4}"}, "load_id", "feed_id", "row_id").collect()))
     assert got == Counter([
         (1, "flag", "pattern", 1001), (1, "flag", "pattern", 1002), (1, "chain", "pattern", 1001), (1, "chain", "pattern", 1002), (1, "chain", "pattern", 1002), (None, "flag", "pattern", 1003),
-        (4, "flag", "value_shift", 0), (9, "flag", "value_shift", 0),
+        (2, "flag", "null_shift", 0), (4, "flag", "value_shift", 0), (9, "flag", "value_shift", 0),  # 11/100 - 1/103 > 0.10
     ])
 
 
