@@ -41,17 +41,33 @@ def test_survivors_empty(spark):
     assert fusion.survivors(table(spark, [], SCHEMA), F.col("k"), "id", F.col("src"), fields()).count() == 0
 
 
-def test_copied_votes_are_discounted(spark):
-    # y and z copy each other's false values everywhere; x, w and v are independent and mostly right
+def test_copied_votes_are_discounted():
+    claims = [{"value": 1.0, "source": 0}, {"value": 2.0, "source": 1}, {"value": 2.0, "source": 2}]
+    accuracy, apart, copied = np.array([0.9, 0.8, 0.8]), np.zeros((3, 3)), np.zeros((3, 3))
+    copied[1, 2] = copied[2, 1] = 1.0
+    free = fusion.Belief(accuracy, apart, (10,)).posteriors(0, claims)
+    tied = fusion.Belief(accuracy, copied, (10,)).posteriors(0, claims)
+    assert free[2.0] > free[1.0] and tied[1.0] > tied[2.0]
+    assert sum(free.values()) <= 1 and sum(tied.values()) <= 1
+
+
+def test_shared_false_values_speak_for_copying():
+    accuracy = np.full(2, 0.8)
+    shared = fusion._dependence(accuracy, *(np.full((2, 2), float(k)) for k in (0, 10, 20)), 20.0, 0.8, 0.1)
+    parted = fusion._dependence(accuracy, *(np.full((2, 2), float(k)) for k in (10, 0, 20)), 20.0, 0.8, 0.1)
+    assert shared[0, 1] > 0.99 > 0.5 > parted[0, 1]
+
+
+def test_fusion_finds_the_truth_of_mostly_right_sources(spark):
+    # y and z share their false values everywhere; x, w and v err now and then, each in its own way
     rows, i = [], 0
     for g in range(60):
         truth = 1.0 + g % 9
-        for src, value in (("x", truth), ("w", truth if g % 5 else 9.7), ("y", 12.0 + g % 3), ("z", 12.0 + g % 3)):
+        for src, value in (("x", truth if g % 7 else 9.5), ("w", truth if g % 5 else 9.7), ("v", truth if g % 6 else 9.9), ("y", 12.0 + g % 3), ("z", 12.0 + g % 3)):
             i += 1
             rows.append((f"g{g}", i, src, 1, value, "", 0, ""))
-    got = fusion.survivors(table(spark, rows, SCHEMA), F.col("k"), "id", F.col("src"), fields(), prior="flat", rounds=4).collect()
-    right = sum(r["res"] == 1.0 + int(r["key"][1:]) % 9 for r in got)
-    assert right >= 45
+    got = fusion.survivors(table(spark, rows, SCHEMA), F.col("k"), "id", F.col("src"), fields(), prior="flat", rounds=3).collect()
+    assert sum(r["res"] == 1.0 + int(r["key"][1:]) % 9 for r in got) >= 55
 
 
 def test_too_many_sources(spark):
@@ -285,8 +301,8 @@ def test_leaks_are_seen(text):
 def test_no_leak_below_thirteen_words_or_inside_words():
     p = leakage.Passages.of([(7, ITEM), (8, "too short"), (9, "")], 13)
     w = ITEM.split()
-    texts = [None, "", " ".join(w[2:13]), " ".join(w[:6] + ["sample"] + w[7:13]), "pre" + "".join(w[3:16]), " ".join(w[1:14]) + "x", "a" * 100_000]
-    assert "domain-swapped" in ITEM  # counts as two words
+    texts = [None, "", " ".join(w[2:13]), " ".join(w[:6] + ["sample"] + w[7:13]), "pre" + "".join(w[3:16]), " ".join(w[1:13]) + "x", "a" * 100_000]
+    assert "domain-swapped" in w[1:13]  # counts as two words
     assert list(p.find(np.arange(len(texts)), texts)) == []
 
 
