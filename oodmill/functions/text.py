@@ -98,3 +98,33 @@ def stem(c: Column) -> Column:
 def is_predicted(c: Column) -> Column:
     low = F.lower(c)
     return low.startswith("af-") | low.startswith("af__") | low.contains("alphafold")
+
+
+def ranges(c: Column) -> Column:
+    """Array of struct(beg, end) of a text such as 1-3,7; parts that are no range are left out."""
+    part = lambda t, k: F.regexp_extract(t, r"^\s*(-?\d+)(?:\s*-\s*(-?\d+))?\s*$", k)
+    read = F.transform(F.split(c, ","), lambda t: F.when(part(t, 1) != "", F.struct(part(t, 1).try_cast("int").alias("beg"), F.coalesce(part(t, 2).try_cast("int"), part(t, 1).try_cast("int")).alias("end"))))
+    return F.filter(read, lambda r: r.isNotNull())
+
+
+def in_ranges(position: Column, segments: Column) -> Column:
+    """Whether a position lies in one of the inclusive ranges."""
+    return F.exists(segments, lambda s: position.between(s["beg"], s["end"]))
+
+
+def in_range_by_code(number: Column, code: Column, beg: Column, beg_code: Column, end: Column, end_code: Column) -> Column:
+    """Inside the open range of residue numbers, or at an end point with the same insertion code."""
+    return ((number > beg) & (number < end)) | ((number == beg) & (code == beg_code)) | ((number == end) & (code == end_code))
+
+
+def in_range_by_order(number: Column, code: Column, beg: Column, beg_code: Column, end: Column, end_code: Column) -> Column:
+    """Inside the closed range of (number, insertion code) in order; a bound that cannot be read accepts everything."""
+    at = F.struct(number.alias("n"), code.alias("c"))
+    low, high = F.struct(beg.alias("n"), beg_code.alias("c")), F.struct(end.alias("n"), end_code.alias("c"))
+    return beg.isNull() | end.isNull() | ((at >= low) & (at <= high))
+
+
+def mismatch(a: Column, b: Column) -> Column:
+    """How far a sequence is from that of its structure: exact, same_length, near (up to five residues) or large."""
+    gap = F.abs(F.length(a) - F.length(b))
+    return F.when(a == b, "exact").when(gap == 0, "same_length").when(gap <= 5, "near").when(gap.isNotNull(), "large")

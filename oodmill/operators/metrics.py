@@ -91,3 +91,40 @@ def fmax(df: DataFrame, row: str, score: str, y: str, thresholds: int = 500) ->
     curve = at.select("step", (F.sum("p").over(down) / n).alias("precision"), (F.sum("r").over(down) / n).alias("recall"))
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-10)
     return curve.select((F.lit(lo) + F.col("step") * width).alias("threshold"), "precision", "recall", f1.alias("f1")).orderBy(F.desc(F.round("f1", 12)), "threshold").limit(1)
+
+
+def macro_fmax(df: DataFrame, label: str, score: str, y: str) -> DataFrame:
+    """(macro_fmax, classes): the best F of each class over its own distinct scores, averaged over the classes that
+    have a positive; 0 classes give NULL."""
+    cells = df.groupBy(F.col(label).alias("label"), F.col(score).alias("_s")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.count("*").alias("said"))
+    run = running_totals(cells, [-F.col("_s")], ["pos", "said"], ["label"])
+    total = cells.groupBy("label").agg(F.sum("pos").alias("p")).where("p > 0")
+    best = run.join(total, "label").groupBy("label").agg(F.max(2.0 * F.col("cum_pos") / (F.col("cum_said") + F.col("p"))).alias("f"))
+    return best.agg(F.avg("f").alias("macro_fmax"), F.count("*").alias("classes"))
+
+
+def task_type(df: DataFrame, label: str, order: str, sample: int = 200) -> str:
+    """Kind of task, told from the first labels in row order: residual (bracketed lists), multilabel (; between),
+    binary (0 and 1 only), single_label (integers of more than two kinds, or text), regression (other numbers)."""
+    first = df.where(F.col(label).isNotNull()).orderBy(order).limit(sample).select(F.trim(F.col(label).cast("string")).alias("v"))
+    number = F.col("v").try_cast("double")
+    r = first.agg(
+        F.bool_or(F.col("v").startswith("[")).alias("lists"), F.bool_or(F.col("v").contains(";")).alias("many"), F.bool_and(number.isNotNull()).alias("numeric"),
+        F.bool_and(F.coalesce(number == F.floor(number), F.lit(False))).alias("whole"), F.bool_and(F.coalesce(number.isin(0.0, 1.0), F.lit(False))).alias("flags"), F.count_distinct("v").alias("kinds"),
+    ).first()
+    if r["lists"]:
+        return "residual"
+    if r["many"]:
+        return "multilabel"
+    if r["flags"]:
+        return "binary"
+    if r["numeric"] and not (r["whole"] and r["kinds"] > 2):
+        return "regression"
+    return "single_label"
+
+
+def null_errors(train: DataFrame, test: DataFrame, y: str) -> DataFrame:
+    """test with the predictions that know nothing of a row: the train median and the train mean (the positive rate
+    of a 0/1 label)."""
+    median, mean = train.agg(F.percentile(y, F.lit(0.5)), F.avg(y)).first()
+    return test.withColumns({"null_median": F.lit(median), "null_mean": F.lit(mean)})

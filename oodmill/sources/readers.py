@@ -231,3 +231,12 @@ def verified(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """(name, ok): files checked against wanted (name, md5)."""
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("is"))
     return wanted.join(files, "name", "left").select("name", F.coalesce(F.col("is") == F.lower("md5"), F.lit(False)).alias("ok"))
+
+
+def compounds(spark: SparkSession, path: str) -> DataFrame:
+    """(path, chain, ec) from the COMPND records of PDB files: every chain of a molecule with every EC number of it."""
+    lines = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line", "t")).where("t like 'COMPND%'")
+    text = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.substring("t", 11, 70).alias("t")))), lambda s: F.rtrim(s["t"])), "").alias("t"))
+    molecule = text.select("path", F.explode(F.split("t", "MOL_ID:")).alias("m")).where("m like '%EC:%'")
+    listed = lambda k: F.transform(F.split(F.regexp_extract("m", rf"{k}:([^;]*)", 1), ","), lambda v: F.trim(v))
+    return molecule.select("path", F.explode(listed("CHAIN")).alias("chain"), listed("EC").alias("e")).select("path", "chain", F.explode("e").alias("ec")).where("ec <> '' and chain <> ''")

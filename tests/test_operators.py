@@ -250,3 +250,35 @@ def test_profile_is_exact(spark):
     ks = max(abs(np.mean([x <= v for x in a]) - np.mean([x <= v for x in b])) for v in a + b)
     assert got[2, "value"]["ks"] == pytest.approx(ks, abs=1e-6)
     assert got[1, "value"]["ks"] is None
+
+
+# -- task kinds, ranges, class-wise F
+
+
+@pytest.mark.parametrize(
+    "labels, want",
+    [(["[0 1]", "[1]"], "residual"), (["a;b", "c"], "multilabel"), (["0", "1", None], "binary"), (["1", "2", "3"], "single_label"), (["0.5", "2"], "regression"), (["1.10.8", "x"], "single_label"), (["5", "7"], "regression")],
+)
+def test_task_type(spark, labels, want):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "i int, label string")
+    assert metrics.task_type(df, "label", "i") == want
+
+
+def test_macro_fmax(spark):
+    rows = [("a", 0.9, 1), ("a", 0.8, 0), ("a", 0.7, 1), ("b", 0.5, 1), ("b", 0.4, 0), ("c", 0.3, 0)]
+    got = metrics.macro_fmax(spark.createDataFrame(rows, "l string, s double, y int"), "l", "s", "y").first()
+    assert got["classes"] == 2 and got["macro_fmax"] == pytest.approx((0.8 + 1.0) / 2)
+
+
+def test_ranges(spark):
+    assert [tuple(r) for r in one(spark, "1-3, 7,x,-2", text.ranges)] == [(1, 3), (7, 7), (-2, -2)]
+    assert one(spark, "1-3,7", lambda c: text.in_ranges(F.lit(3), text.ranges(c))) and not one(spark, "1-3,7", lambda c: text.in_ranges(F.lit(5), text.ranges(c)))
+    at = lambda f, n, code: one(spark, "x", lambda c: f(F.lit(n), F.lit(code), F.lit(10), F.lit("A"), F.lit(20), F.lit(" ")))
+    assert at(text.in_range_by_code, 10, "A") and not at(text.in_range_by_code, 10, "B") and at(text.in_range_by_code, 15, "Z")
+    assert at(text.in_range_by_order, 10, "B") and not at(text.in_range_by_order, 10, " ")
+    assert [one(spark, v, lambda c: text.mismatch(c, F.lit("ACDE"))) for v in ("ACDE", "ACDF", "AC", "A" * 20, None)] == ["exact", "same_length", "near", "large", None]
+
+
+def test_null_predictors(spark):
+    train = spark.createDataFrame([(0.0,), (1.0,), (1.0,), (4.0,)], "y double")
+    assert metrics.null_errors(train, train.limit(1), "y").first()[1:] == (1.0, 1.5)

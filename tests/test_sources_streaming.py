@@ -128,3 +128,9 @@ def test_annotation_against_a_fixed_reference(spark, stream, tmp_path):
     ref = spark.createDataFrame([("b", 3)], "code string, freq long")
     got = run_stream(events.annotated(events.known_only(stream, spark.createDataFrame([(1,)], "user_id long"), "user_id"), ref, "code", "event_type"), tmp_path)
     assert len(got) == 4 and all(r["ood_new"] for r in got)
+
+
+def test_compounds(spark, tmp_path):
+    (tmp_path / "c.pdb").write_text("COMPND    MOL_ID: 1;\nCOMPND   2 CHAIN: A, B;\nCOMPND   3 EC: 1.2.3.4, 2.1.1.1;\nCOMPND   4 MOL_ID: 2;\nCOMPND   5 CHAIN: C;\nATOM\n")
+    got = sorted((r["chain"], r["ec"]) for r in readers.compounds(spark, str(tmp_path / "c.pdb")).collect())
+    assert got == [("A", "1.2.3.4"), ("A", "2.1.1.1"), ("B", "1.2.3.4"), ("B", "2.1.1.1")]
