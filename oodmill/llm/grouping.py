@@ -75,8 +75,9 @@ def stratified_group_split(
             whole = sum(want.values())
             part = {s: want[s] / whole if whole else w for s, w in shares.items()}
             low = 0.0
-            for s, p in part.items():
-                quota.append((k, c["cell"], s, low, low + p))
+            for i, (s, p) in enumerate(part.items()):
+                # the last bound lies beyond 1, so rounding leaves no group without a split
+                quota.append((k, c["cell"], s, low, 2.0 if i == len(part) - 1 else low + p))
                 low += p
                 take(s, c, p)
     spark = rows.sparkSession

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, lgamma, log
+from math import exp, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oodmill.operators.graph import connected_components
 from oodmill.session import cut, parallelism
 
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -169,16 +170,18 @@ def near_duplicates(df: DataFrame, row: str, seq: str, k: int = 5, threshold: fl
 
 
 def near_duplicate_groups(df: DataFrame, row: str, seq: str, k: int = 5, threshold: float = 0.6) -> DataFrame:
-    """(row_id, class_id, group_id, links): one row a record; links counts the other classes alike to its class."""
-    from oodmill.operators.graph import connected_components
+    """(row_id, class_id, group_id, links): one row a record. Records with equal sequences share a class; links counts
+    the other classes alike to it; group_id is the same for all classes linked directly or through others.
 
-    members, classes = distinct_sequences(df.where(F.length(F.col(f"`{seq}`")) >= k), row, seq)
+    A sequence without windows is a class without links; a NULL sequence has neither class nor group.
+    """
+    rows = cut(df.select(F.col(f"`{row}`").alias("row_id"), F.col(f"`{seq}`").alias("seq")))
+    members, classes = distinct_sequences(rows, "row_id", "seq")
     pairs = cut(similar_classes(classes, k, threshold))
     both = pairs.select(F.col("a").alias("class_id")).union(pairs.select(F.col("b").alias("class_id")))
     links = both.groupBy("class_id").agg(F.count("*").alias("links"))
     parts = connected_components(pairs, "a", "b").select(F.col("node").cast("bigint").alias("class_id"), F.col("component").cast("bigint").alias("group_id"))
-    return (
-        members.join(links, "class_id", "left")
-        .join(parts, "class_id", "left")
-        .select("row_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    grouped = members.join(links, "class_id", "left").join(parts, "class_id", "left")
+    found = grouped.select("row_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    nothing = rows.where("seq is null").select("row_id", *[F.lit(None).cast("bigint").alias(c) for c in ("class_id", "group_id")], F.lit(0).cast("bigint").alias("links"))
+    return found.unionByName(nothing)

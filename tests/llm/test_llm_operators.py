@@ -123,7 +123,9 @@ def test_near_duplicates_match_brute_force(spark):
 def test_near_duplicate_groups_have_each_row_once(spark):
     rows, df = samples(spark)
     got = neardup.near_duplicate_groups(df, "row_id", "seq").collect()
-    assert sorted(r["row_id"] for r in got) == sorted(r[0] for r in rows if r[2] and len(r[2]) >= 5)
+    assert sorted(r["row_id"] for r in got) == sorted(r[0] for r in rows)
+    assert all((r["class_id"] is None) == (r["row_id"] in {x[0] for x in rows if x[2] is None}) for r in got)
+    assert all(r["links"] == 0 or r["group_id"] is not None for r in got)
 
 
 def test_overlap_matches_brute_force(spark):
