@@ -80,21 +80,26 @@ class Tagger:
         """Scores of one direction, (time, batch, states), from ids of shape (time, batch)."""
         t, b = ids.shape
         h = self.h
-        hidden, cell = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
-        out = np.empty((t, b, STATES), np.float32)
+        out, cell, hidden = np.empty((t, b, h), np.float32), np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
+        g, r, tmp = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32), np.empty((b, h), np.float32)
         for i in range(t):
-            g = self.inputs[d][ids[i]]
-            g += hidden @ self.hidden[d]
+            np.take(self.inputs[d], ids[i], axis=0, out=g, mode="clip")
+            np.matmul(hidden, self.hidden[d], out=r)
+            g += r
             np.tanh(g, out=g)
-            gates = g[:, : 3 * h]
-            gates += 1
-            gates *= 0.5
-            cell *= gates[:, h : 2 * h]
-            cell += gates[:, :h] * g[:, 3 * h :]
+            np.add(g[:, h : 2 * h], 1, out=tmp)
+            tmp *= 0.5
+            cell *= tmp
+            np.add(g[:, :h], 1, out=tmp)
+            tmp *= 0.5
+            tmp *= g[:, 3 * h :]
+            cell += tmp
+            hidden = out[i]
             np.tanh(cell, out=hidden)
-            hidden *= gates[:, 2 * h :]
-            np.matmul(hidden, self.out[d], out=out[i])
-        return out
+            np.add(g[:, 2 * h : 3 * h], 1, out=tmp)
+            tmp *= 0.5
+            hidden *= tmp
+        return (out.reshape(-1, h) @ self.out[d]).reshape(t, b, STATES)
 
     def scores(self, windows: list[np.ndarray]) -> list[np.ndarray]:
         """Scores of the states for each character of each window; windows of like length run together."""
@@ -114,8 +119,12 @@ class Tagger:
                 result[i] = f[:n, j] + r[:n, j][::-1] + self.bias
         return result
 
-    def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Best path through each of many stretches, those of like length decoded side by side."""
+    def viterbi(self, scores: list[np.ndarray], inner: list[tuple[bool, bool]] | None = None) -> list[np.ndarray]:
+        """Best path through each of many stretches, those of like length decoded side by side.
+
+        inner: whether O comes right before and right after a stretch; else it begins or ends there.
+        """
+        inner = inner or [(False, False)] * len(scores)
         paths: list[np.ndarray] = [None] * len(scores)  # type: ignore[list-item]
         order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
         for lo in range(0, len(order), 256):
@@ -126,7 +135,7 @@ class Tagger:
             for j, i in enumerate(part):
                 block[: size[j], j] = scores[i]
             back = np.zeros((longest, b, STATES), np.uint8)
-            best = self.start + block[0]
+            best = np.where(np.array([inner[i][0] for i in part])[:, None], self.trans[0], self.start) + block[0]
             ends = np.zeros((b, STATES), np.float32)
             ends[size == 1] = best[size == 1]
             for t in range(1, longest):
@@ -134,6 +143,7 @@ class Tagger:
                 back[t] = into.argmax(2)
                 best = into.max(2) + block[t]
                 ends[size == t + 1] = best[size == t + 1]
+            ends += np.where(np.array([inner[i][1] for i in part])[:, None], self.trans[:, 0], 0.0)
             state = ends.argmax(1)
             path = np.zeros((longest, b), np.uint8)
             at = np.arange(b)
@@ -145,6 +155,32 @@ class Tagger:
                 paths[i] = path[: size[j], j]
         return paths
 
+    def undecided(self, scores: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(stretch, start, end) of the places where the best path may leave O; elsewhere it is O for sure.
+
+        A run outside O gains at most `gain` a step, and one for the way back, over what its characters lose. A place
+        is open only if some run through it can come out ahead: best sums to both sides, by running maxima.
+        """
+        out = []
+        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+        for lo in range(0, len(order), 2048):
+            part = order[lo : lo + 2048]
+            size = np.array([len(scores[i]) for i in part])
+            ahead = np.full((size[-1], len(part)), -1e9, np.float32)
+            for j, i in enumerate(part):
+                ahead[: size[j], j] = self.gain - (scores[i][:, 0] - scores[i][:, 1:].max(1))
+            left, right = ahead.copy(), ahead.copy()
+            for t in range(1, len(left)):
+                left[t] += np.maximum(left[t - 1], 0)
+            for t in range(len(right) - 2, -1, -1):
+                right[t] += np.maximum(right[t + 1], 0)
+            open_ = left + right - ahead + self.gain > -1e-3
+            edge = np.diff(np.pad(open_, ((1, 1), (0, 0))).astype(np.int8), axis=0).T
+            col, start = np.nonzero(edge == 1)
+            end = np.nonzero(edge == -1)[1]
+            out += [(part[c], int(a), min(int(b), int(size[c]))) for c, a, b in zip(col, start, end, strict=True)]
+        return out
+
     def spans(self, stretches: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         """(start, end, type) of the mentions of each stretch.
 
@@ -166,21 +202,22 @@ class Tagger:
                 whole[k] = np.empty((len(stretches[k]), STATES), np.float32)
             skip = (WINDOW - STRIDE) // 2 if at else 0
             whole[k][at + skip : at + len(sc)] = sc[skip:]
-        unsure = [k for k, sc in enumerate(whole) if (sc[:, :1] - sc[:, 1:]).min() <= 2 * self.gain]
+        some = [k for k, sc in enumerate(whole) if (sc[:, :1] - sc[:, 1:]).min() <= 2 * self.gain]
+        parts = [(some[i], a, b) for i, a, b in self.undecided([whole[k] for k in some])] if some else []
+        paths = self.viterbi([whole[k][a:b] for k, a, b in parts], [(a > 0, b < len(whole[k])) for k, a, b in parts])
         out: list[list[tuple[int, int, int]]] = [[] for _ in whole]
-        for k, path in zip(unsure, self.viterbi([whole[k] for k in unsure]), strict=True):
-            found, at = [], 0
+        for (k, a, _), path in zip(parts, paths, strict=True):
+            at = 0
             while at < len(path):
                 if path[at]:
                     kind = (path[at] - 1) // 2
                     end = at + 1
                     while end < len(path) and path[end] == 2 * kind + 2:
                         end += 1
-                    found.append((at, end, int(kind)))
+                    out[k].append((a + at, a + end, int(kind)))
                     at = end
                 else:
                     at += 1
-            out[k] = found
         return out
 
 
