@@ -60,6 +60,18 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def side_by_side(sizes: list[int], most: int, cells: int) -> Iterator[list[int]]:
+    """Indices in groups of like size, each of at most `most` members and, padded, at most `cells` places."""
+    group: list[int] = []
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        if group and (len(group) == most or (len(group) + 1) * sizes[i] > cells):
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
 class Tagger:
     """Forward pass and decoding. Gate order: input, forget, output, candidate."""
 
@@ -126,9 +138,7 @@ class Tagger:
         """
         inner = inner or [(False, False)] * len(scores)
         paths: list[np.ndarray] = [None] * len(scores)  # type: ignore[list-item]
-        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
-        for lo in range(0, len(order), 256):
-            part = order[lo : lo + 256]
+        for part in side_by_side([len(x) for x in scores], 256, 100_000):
             size = np.array([len(scores[i]) for i in part])
             longest, b = size[-1], len(part)
             block = np.zeros((longest, b, STATES), np.float32)
@@ -162,9 +172,7 @@ class Tagger:
         is open only if some run through it can come out ahead: best sums to both sides, by running maxima.
         """
         out = []
-        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
-        for lo in range(0, len(order), 2048):
-            part = order[lo : lo + 2048]
+        for part in side_by_side([len(x) for x in scores], 1024, 400_000):
             size = np.array([len(scores[i]) for i in part])
             ahead = np.full((size[-1], len(part)), -1e9, np.float32)
             for j, i in enumerate(part):
@@ -276,8 +284,8 @@ def find(tagger: Tagger, texts: list[str | None], memo: dict[bytes, list] | None
             if key not in memo:
                 fresh[key] = None
     keys = list(fresh)
-    for lo in range(0, len(keys), 16_384):
-        some = keys[lo : lo + 16_384]
+    for lo in range(0, len(keys), 4096):
+        some = keys[lo : lo + 4096]
         fresh.update(zip(some, tagger.spans([np.frombuffer(k, np.uint8) for k in some]), strict=True))
     out = []
     for text, parts in zip(texts, plan, strict=True):
