@@ -99,18 +99,22 @@ def clique_partition(df: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     return df.select(key).join(cliques, key, "left").select(key, F.coalesce("clique", F.col(key)).alias("clique"))
 
 
-def leakage_fixpoint(df: DataFrame, key: str, split: str, pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """(key, split): val and test rows linked to train move to train, round by round, until none is linked."""
-    state = cut(df.select(F.col(key).alias("id"), F.col(split).alias("split")))
-    links = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    for _ in range(max_rounds):
-        train = state.where("split = 'train'").select(F.col("id").alias("b"))
-        touched = links.join(train, "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        moved = state.where("split <> 'train'").join(touched, "id", "left_semi")
-        if moved.isEmpty():
-            break
-        state = cut(state.join(moved.select("id", F.lit(True).alias("_m")), "id", "left").select("id", F.when(F.col("_m"), "train").otherwise(F.col("split")).alias("split")))
-    return state.select(F.col("id").alias(key), "split")
+def leakage_fixpoint(df: DataFrame, key: str, split: str, pairs: DataFrame) -> DataFrame:
+    """(key, split): val and test rows linked to train, directly or over other rows, move to train.
+
+    A connected component that holds a train row moves as a whole, however long its chains are; that is the state at
+    which no row is left to move. Components that do not settle raise. Links to rows that df lacks count for nothing.
+    """
+    rows = cut(df.select(F.col(key).alias("id"), F.col(split).alias("split")))
+    links = pairs.select(*[F.col(c).cast(rows.schema["id"].dataType).alias(c) for c in "ab"])
+    for c in "ab":
+        links = links.join(rows.where("split is not null").select(F.col("id").alias(c)), c, "left_semi")
+    parts = cut(connected_components(cut(links.select("a", "b")), "a", "b"))
+    train = rows.where("split = 'train'").select(F.col("id").cast("string").alias("node"))
+    leaking = parts.join(train, "node", "left_semi").select("component").distinct()
+    moved = parts.join(leaking, "component", "left_semi").select("node", F.lit(True).alias("_m"))
+    state = rows.withColumn("node", F.col("id").cast("string")).join(moved, "node", "left")
+    return state.select(F.col("id").alias(key), F.when(F.col("_m") & F.col("split").isNotNull(), "train").otherwise(F.col("split")).alias("split"))
 
 
 def nearest(df: DataFrame, key: str, group: str, distance_to: Column, k: int) -> DataFrame:

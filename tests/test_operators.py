@@ -201,6 +201,15 @@ def test_leakage_fixpoint_is_idempotent(spark):
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect())) == [(1, "train"), (2, "train"), (3, "train"), (4, "test")]
 
 
+def test_leakage_fixpoint_follows_long_chains(spark):
+    # 1 is train and reached over 100 links; 201-202 hold no train row; 300 is linked to a row that is not there
+    held = [(1, "train"), *[(i, "val" if i % 2 else "test") for i in range(2, 102)], (201, "val"), (202, "test"), (300, "val"), (400, "train"), (500, None)]
+    links = [*[(i + 1, i) for i in range(1, 101)], (201, 202), (300, 999), (999, 400), (500, 400), (201, 500)]
+    df, pairs = spark.createDataFrame(held, "id bigint, split string"), spark.createDataFrame(links, "a int, b int")
+    got = dict(map(tuple, similarity.leakage_fixpoint(df, "id", "split", pairs).collect()))
+    assert got == {i: s if i > 101 else "train" for i, s in held}
+
+
 def test_retention_keeps_all_when_nothing_shifts(spark):
     rng = np.random.default_rng(8)
     rows = [(i, "ab"[i % 2], float(rng.random()), 2.0, "s" if i >= 200 else "none") for i in range(400)]
