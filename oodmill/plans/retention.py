@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oodmill.operators import retention
 from oodmill.session import cut, table
 
-DRAWS = 5
+DRAWS = 50
 SEQ = {30.0: "seq_redundancy_30", 50.0: "seq_redundancy_50", 70.0: "seq_redundancy_70", 90.0: "seq_redundancy_90"}
 STR = {0.3: "tm_score_0_3", 0.5: "tm_score_0_5", 0.7: "tm_score_0_7", 0.9: "tm_score_0_9"}
 SCENARIOS = ["ood_orphan", "ood_longtail"]
