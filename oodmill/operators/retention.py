@@ -29,7 +29,8 @@ def matched_retention(
     Controls: for each draw, the pool is put in hashed order inside each profile; a stratum takes as many rows of each
     profile as it has itself, the whole profile where that is smaller, and the whole pool's mean where the pool lacks
     the profile. Means of such prefixes come from running totals of the pool, so no control row is copied for a
-    stratum. dpr is NULL where the reference advantage is at most `gap` of the reference error.
+    stratum. dpr is NULL where the advantage in the reference (b0 - b; negative where the predictor is worse
+    than the null one) is at most `gap` of the greater of both reference errors.
     """
     held = cut(rows.select(F.col(ident).alias("id"), F.col(profile).alias("profile"), F.col(error).alias("e"), F.col(null_error).alias("e0"), *strata, pool.alias("in_pool")))
     reference = held.where("in_pool")
@@ -52,8 +53,9 @@ def matched_retention(
         F.first("n").alias("n"), F.first(F.col("se") / F.col("n")).alias("m"), F.first(F.col("se0") / F.col("n")).alias("m0"),
         F.avg(F.col("ce") / F.col("cn")).alias("b"), F.avg(F.col("ce0") / F.col("cn")).alias("b0"),
     ).where(F.col("n") >= least)
+    scale = F.greatest(F.abs("b"), F.abs("b0"), F.lit(1e-8))
     dpr = (F.col("m0") - F.col("m")) / (F.col("b0") - F.col("b") + 1e-12)
-    return per.withColumn("dpr", F.when(F.abs(F.col("b0") - F.col("b")) > gap * F.abs("b0"), dpr))
+    return per.withColumn("dpr", F.when(F.col("b0") - F.col("b") > gap * scale, dpr))
 
 
 def summary(per_stratum: DataFrame) -> DataFrame:

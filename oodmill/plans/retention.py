@@ -27,7 +27,7 @@ def _strata(spark: SparkSession, sf: str) -> DataFrame:
     by = rows.where(pool).groupBy("dataset").agg(F.avg("y").alias("p"))
     overall = rows.where(pool).agg(F.avg("y")).first()[0] or 0.0
     scored = rows.join(F.broadcast(by), "dataset", "left").withColumn("e", F.abs(F.col("y") - F.coalesce("p", F.lit(overall)))).withColumn("e0", F.abs(F.col("y") - F.lit(overall)))
-    return retention.matched_retention(scored, "row_id", "dataset", "e", "e0", ["seq_rank", "str_rank", "scenario"], pool, DRAWS, gap=0.0)
+    return retention.matched_retention(scored, "row_id", "dataset", "e", "e0", ["seq_rank", "str_rank", "scenario"], pool, DRAWS)
 
 
 def matched_control_retention(spark: SparkSession, sf: str) -> DataFrame:

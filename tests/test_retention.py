@@ -6,6 +6,7 @@ from statistics import fmean
 
 import pytest
 
+from oodmill.operators import retention as operator
 from oodmill.plans import retention
 
 FLAGS = [*retention.SEQ.values(), *retention.STR.values()]
@@ -34,3 +35,17 @@ def test_controls_are_averaged_over_fifty_draws(spark, tmp_path):
     got = retention.matched_control_retention(spark, stored(spark, tmp_path, rows)).collect()
     assert [(r["scenario"], r["n"]) for r in got] == [("ood_orphan", 25)]
     assert (got[0]["b"], got[0]["b0"]) == pytest.approx((fmean(b), fmean(b0)), abs=1.1e-5)
+
+
+def test_strata_without_reference_advantage_have_no_ratio(spark, tmp_path):
+    # in a, the mean is further from most rows than the overall mean is, so the predictor is worse than the null one
+    rows = [("a", i < 10, None) for i in range(40)] + [("b", 0, None)] * 40 + [("a", i < 20, "ood_orphan") for i in range(40)] + [("b", 0, "ood_longtail")] * 40
+    got = retention.retention_summary(spark, stored(spark, tmp_path, rows)).first()
+    assert got["strata"] == 1 and (got["prodpr"], got["worst"]) == pytest.approx((1.0, 1.0))
+
+
+def test_small_reference_advantage_has_no_ratio(spark):
+    rows = [(i, "p", e, 1.0, s) for i, (s, e) in enumerate([("none", 0.995)] * 30 + [("x", 0.5)] * 30)]
+    df = spark.createDataFrame(rows, "id int, profile string, e double, e0 double, scenario string")
+    got = operator.matched_retention(df, "id", "profile", "e", "e0", ["scenario"], operator.F.col("scenario") == "none", draws=2).first()
+    assert got["dpr"] is None and got["b"] == pytest.approx(0.995)
