@@ -17,7 +17,11 @@ from oodmill.session import spread
 TYPES = ["email", "phone", "id_number", "address", "name"]
 STATES = 1 + 2 * len(TYPES)  # O, then B and I of each type
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
-WINDOW, STRIDE = 256, 192
+WINDOW, STRIDE, STEP = 256, 192, 4  # characters; a step of the network reads STEP of them
+SHUT = -40.0  # input of a gate that lets nothing through
+# a mention begins with B of its type; I follows B or I of the same type only
+BARRED = np.array([[-30.0 if j and j % 2 == 0 and i not in (j - 1, j) else 0.0 for j in range(STATES)] for i in range(STATES)], np.float32)
+BARRED_START = BARRED[0]
 
 # Characters with an id of their own; digits share one, other letters and signs one each.
 SIGNS = " \n.,;:@()[]{}<>+-_'/\\\"&#%=!?*|~º°’"
@@ -45,15 +49,25 @@ def encode(text: str) -> np.ndarray:
     return _TABLE[np.minimum(points, 0x2FFF)]
 
 
-_BREAK = re.compile(r"(?<=[^\W\d_]{4}[.!?])\s+(?=[A-ZÀ-Þ<])|(?<=\d[.!?])\s+(?=[A-ZÀ-Þ<])|(?<=[)\]][.!?])\s+(?=[A-ZÀ-Þ<])|\n\s*\n")
+_BREAK = re.compile(r"[.!?]\s+(?=[A-ZÀ-Þ<])|\n\s*\n")
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the stretches read at once: sentences, cut where the next cannot be part of a mention."""
+    """(start, end) of the stretches read at once: sentences, cut where the next cannot be part of a mention.
+
+    A sentence ends after a word of four letters or more, a digit or a closing bracket; shorter words may be titles
+    or initials.
+    """
     out, at = [], 0
     for m in _BREAK.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
+        end = m.start()
+        if text[end] != "\n":
+            before = text[end - 1 : end]
+            if not (before.isdigit() or before in (")", "]") or end >= 4 and text[end - 4 : end].isalpha()):
+                continue
+            end += 1
+        if end > at:
+            out.append((at, end))
         at = m.end()
     if at < len(text):
         out.append((at, len(text)))
@@ -73,63 +87,87 @@ def side_by_side(sizes: list[int], most: int, cells: int) -> Iterator[list[int]]
 
 
 class Tagger:
-    """Forward pass and decoding. Gate order: input, forget, output, candidate."""
+    """Forward pass and decoding. Gate order: input, forget, output, candidate.
+
+    Each step of either direction reads four characters and each of them gets scores of its own, which quarters the steps.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray]):
         h = weights["uf"].shape[0]
-        half = np.r_[np.full(3 * h, 0.5), np.ones(h)].astype(np.float32)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        half = np.array([0.5, 0.5, 0.5, 1.0], np.float32)[:, None, None]  # sigmoid(x) = (1 + tanh(x / 2)) / 2
         self.h = h
-        self.inputs = [np.ascontiguousarray(((weights[f"w{d}"] + weights[f"b{d}"]) * half).astype(np.float32)) for d in "fb"]
-        self.hidden = [np.ascontiguousarray((weights[f"u{d}"] * half).astype(np.float32)) for d in "fb"]
-        self.out = [np.ascontiguousarray(weights[f"o{d}"].astype(np.float32)) for d in "fb"]
+        by_gate = lambda w: np.ascontiguousarray(w.astype(np.float32).reshape(-1, 4, h).transpose(1, 0, 2) * half)
+        # inputs of each two characters of a step, summed beforehand
+        self.inputs = []
+        for d in "fb":
+            two = [weights[f"w{d}{i}"][:, None] + weights[f"w{d}{i + 1}"][None] for i in range(0, STEP, 2)]
+            two[0] = two[0] + weights[f"b{d}"]
+            two[0][PAD, PAD, :h] = SHUT  # padding leaves the state at zero
+            self.inputs.append([by_gate(x.reshape(VOCABULARY**2, 4 * h)) for x in two])
+        # hidden values are kept doubled, which saves a pass over them; the weights that read them are halved
+        self.hidden = [by_gate(weights[f"u{d}"] * 0.5) for d in "fb"]
+        self.out = [np.ascontiguousarray(weights[f"o{d}"].astype(np.float32).T * np.float32(0.5)) for d in "fb"]
         self.bias = weights["bias"].astype(np.float32)
-        self.trans = weights["trans"].astype(np.float32)
-        self.start = weights["start"].astype(np.float32)
-        # what a path can gain at most for each step outside O; O all along is best where O leads by twice as much
-        self.gain = max(0.0, float((self.trans - self.trans[0, 0]).max()), float((self.start - self.start[0]).max()))
-
-    def _run(self, ids: np.ndarray, d: int) -> np.ndarray:
-        """Scores of one direction, (time, batch, states), from ids of shape (time, batch)."""
-        t, b = ids.shape
+        self.trans = weights["trans"].astype(np.float32) + BARRED
+        self.start = weights["start"].astype(np.float32) + BARRED_START
+        # what entering each B wins over staying in O
+        self.into = np.maximum(self.trans[0] - self.trans[0, 0], self.start - self.start[0])[1::2]
+        self.gain, self.extra = self._most_gain()
+
+    def _most_gain(self, steps: int = 512) -> tuple[float, float]:
+        """(a, b): a run outside O wins at most a * n + b by its transitions after the first character, n more of them
+        and the way back, over staying in O."""
+        stay = self.trans[0, 0]
+        back = np.maximum(self.trans[1:, 0] - stay, 0.0)
+        inside = self.trans[1:, 1:] - stay
+        best, won = np.where(np.arange(1, STATES) % 2, 0.0, -1e9), []
+        for _ in range(steps):
+            won.append(float((best + back).max()))
+            best = (best[:, None] + inside).max(0)
+        gain = max(0.0, won[-1] - won[-2], (won[-1] - won[steps // 2]) / (steps - 1 - steps // 2)) + 1e-4
+        return gain, max(w - gain * i for i, w in enumerate(won)) + 1e-3
+
+    def leads(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how much O leads over every other state, and over entering a mention; states are the second axis."""
+        o = scores[:, 0]
+        into = self.into.reshape(-1, *[1] * (scores.ndim - 2))
+        return o - scores[:, 1:].max(1), o - (scores[:, 1::2] + into).max(1)
+
+    def _run(self, pairs: list[np.ndarray], d: int) -> np.ndarray:
+        """Doubled hidden values of one direction, (steps * batch, hidden), from pairs of shape (steps, batch). Each gate
+        lies in a block of its own, so no pass strides over the others."""
+        t, b = pairs[0].shape
         h = self.h
         out, cell, hidden = np.empty((t, b, h), np.float32), np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
-        g, r, tmp = np.empty((b, 4 * h), np.float32), np.empty((b, 4 * h), np.float32), np.empty((b, h), np.float32)
-        for i in range(t):
-            np.take(self.inputs[d], ids[i], axis=0, out=g, mode="clip")
-            np.matmul(hidden, self.hidden[d], out=r)
-            g += r
+        g, r, tmp = np.empty((4, b, h), np.float32), np.empty((4, b, h), np.float32), np.empty((b, h), np.float32)
+        for i in range(t) if d == 0 else range(t - 1, -1, -1):
+            np.matmul(hidden, self.hidden[d], out=g)
+            for table, two in zip(self.inputs[d], pairs, strict=True):
+                np.take(table, two[i], axis=1, out=r, mode="clip")
+                g += r
             np.tanh(g, out=g)
-            np.add(g[:, h : 2 * h], 1, out=tmp)
-            tmp *= 0.5
-            cell *= tmp
-            np.add(g[:, :h], 1, out=tmp)
-            tmp *= 0.5
-            tmp *= g[:, 3 * h :]
+            g[:3] += 1
+            cell *= g[1]
+            np.multiply(g[0], g[3], out=tmp)
             cell += tmp
+            cell *= 0.5
+            np.tanh(cell, out=tmp)
             hidden = out[i]
-            np.tanh(cell, out=hidden)
-            np.add(g[:, 2 * h : 3 * h], 1, out=tmp)
-            tmp *= 0.5
-            hidden *= tmp
-        return (out.reshape(-1, h) @ self.out[d]).reshape(t, b, STATES)
-
-    def scores(self, windows: list[np.ndarray]) -> list[np.ndarray]:
-        """Scores of the states for each character of each window; windows of like length run together."""
-        result: list[np.ndarray] = [None] * len(windows)  # type: ignore[list-item]
-        order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
-        for lo in range(0, len(order), 768):
-            part = order[lo : lo + 768]
-            longest = len(windows[part[-1]])
-            ahead = np.zeros((longest, len(part)), np.uint8)
-            back = np.zeros((longest, len(part)), np.uint8)
-            for j, i in enumerate(part):
-                n = len(windows[i])
-                ahead[:n, j], back[:n, j] = windows[i], windows[i][::-1]
-            f, r = self._run(ahead, 0), self._run(back, 1)
-            for j, i in enumerate(part):
-                n = len(windows[i])
-                result[i] = f[:n, j] + r[:n, j][::-1] + self.bias
-        return result
+            np.multiply(g[2], tmp, out=hidden)
+        return out.reshape(-1, h)
+
+    def scores(self, windows: list[np.ndarray]) -> np.ndarray:
+        """Scores of windows of like length side by side: (character of the step, states, steps, windows)."""
+        size = np.array([len(w) for w in windows])
+        t = -(-int(size.max()) // STEP)
+        ids = np.full((len(windows), STEP * t), PAD, np.uint8)
+        ids[np.arange(STEP * t) < size[:, None]] = np.concatenate(windows)
+        wide = ids.astype(np.int64)
+        pairs = [np.ascontiguousarray((wide[:, i::STEP] * VOCABULARY + wide[:, i + 1 :: STEP]).T) for i in range(0, STEP, 2)]
+        both = self.out[0] @ self._run(pairs, 0).T
+        both += self.out[1] @ self._run(pairs, 1).T
+        both += np.tile(self.bias, STEP)[:, None]
+        return both.reshape(STEP, STATES, t, len(windows))
 
     def viterbi(self, scores: list[np.ndarray], inner: list[tuple[bool, bool]] | None = None) -> list[np.ndarray]:
         """Best path through each of many stretches, those of like length decoded side by side.
@@ -138,51 +176,51 @@ class Tagger:
         """
         inner = inner or [(False, False)] * len(scores)
         paths: list[np.ndarray] = [None] * len(scores)  # type: ignore[list-item]
-        for part in side_by_side([len(x) for x in scores], 256, 100_000):
+        for part in side_by_side([len(x) for x in scores], 1024, 200_000):
+            part = part[::-1]  # longest first, so those still open at a step come first
             size = np.array([len(scores[i]) for i in part])
-            longest, b = size[-1], len(part)
+            longest, b = size[0], len(part)
+            still = b - np.searchsorted(size[::-1], np.arange(longest + 1), side="right")
             block = np.zeros((longest, b, STATES), np.float32)
             for j, i in enumerate(part):
                 block[: size[j], j] = scores[i]
             back = np.zeros((longest, b, STATES), np.uint8)
             best = np.where(np.array([inner[i][0] for i in part])[:, None], self.trans[0], self.start) + block[0]
-            ends = np.zeros((b, STATES), np.float32)
-            ends[size == 1] = best[size == 1]
+            into_t = np.ascontiguousarray(self.trans.T)[None]
             for t in range(1, longest):
-                into = best[:, None, :] + self.trans.T[None]
-                back[t] = into.argmax(2)
-                best = into.max(2) + block[t]
-                ends[size == t + 1] = best[size == t + 1]
-            ends += np.where(np.array([inner[i][1] for i in part])[:, None], self.trans[:, 0], 0.0)
-            state = ends.argmax(1)
+                n = still[t]
+                into = best[:n, None, :] + into_t
+                back[t, :n] = into.argmax(2)
+                best[:n] = into.max(2) + block[t, :n]
+            best += np.where(np.array([inner[i][1] for i in part])[:, None], self.trans[:, 0], 0.0)
+            state = best.argmax(1)
             path = np.zeros((longest, b), np.uint8)
             at = np.arange(b)
             for t in range(longest - 1, -1, -1):
-                inside = t < size
-                path[t, inside] = state[inside]
-                state = np.where(inside, back[t, at, state], state) if t else state
+                n = still[t]
+                path[t, :n] = state[:n]
+                if t:
+                    state[:n] = back[t, at[:n], state[:n]]
             for j, i in enumerate(part):
                 paths[i] = path[: size[j], j]
         return paths
 
-    def undecided(self, scores: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    def undecided(self, leads: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
         """(stretch, start, end) of the places where the best path may leave O; elsewhere it is O for sure.
 
-        A run outside O gains at most `gain` a step, and one for the way back, over what its characters lose. A place
-        is open only if some run through it can come out ahead: best sums to both sides, by running maxima.
+        A run outside O loses what O leads by and wins at most gain a step and extra in all. A place is open only if
+        some run through it can come out ahead: best sums to both sides, by running maxima.
         """
         out = []
-        for part in side_by_side([len(x) for x in scores], 1024, 400_000):
-            size = np.array([len(scores[i]) for i in part])
-            ahead = np.full((size[-1], len(part)), -1e9, np.float32)
+        for part in side_by_side([len(x) for x, _ in leads], 1024, 400_000):
+            size = np.array([len(leads[i][0]) for i in part])
+            win, enter = (np.full((size[-1], len(part)), -1e9, np.float32) for _ in range(2))
             for j, i in enumerate(part):
-                ahead[: size[j], j] = self.gain - (scores[i][:, 0] - scores[i][:, 1:].max(1))
-            left, right = ahead.copy(), ahead.copy()
-            for t in range(1, len(left)):
-                left[t] += np.maximum(left[t - 1], 0)
-            for t in range(len(right) - 2, -1, -1):
-                right[t] += np.maximum(right[t + 1], 0)
-            open_ = left + right - ahead + self.gain > -1e-3
+                win[: size[j], j], enter[: size[j], j] = self.gain - leads[i][0], -leads[i][1]
+            total = np.cumsum(win, axis=0, dtype=np.float64)
+            left = np.maximum.accumulate(enter - total, axis=0) + total
+            right = np.maximum.accumulate(total[::-1], axis=0)[::-1] - total
+            open_ = left + right + self.extra > 0
             edge = np.diff(np.pad(open_, ((1, 1), (0, 0))).astype(np.int8), axis=0).T
             col, start = np.nonzero(edge == 1)
             end = np.nonzero(edge == -1)[1]
@@ -200,20 +238,35 @@ class Tagger:
             for at in range(0, max(1, len(s) - (WINDOW - STRIDE)), STRIDE):
                 windows.append(s[at : at + WINDOW])
                 owner.append((k, at))
-        scored = self.scores(windows)
-        whole: list[np.ndarray | None] = [None] * len(stretches)
-        for (k, at), sc in zip(owner, scored, strict=True):
-            if at == 0 and len(sc) == len(stretches[k]):
-                whole[k] = sc
-                continue
-            if whole[k] is None:
-                whole[k] = np.empty((len(stretches[k]), STATES), np.float32)
-            skip = (WINDOW - STRIDE) // 2 if at else 0
-            whole[k][at + skip : at + len(sc)] = sc[skip:]
-        some = [k for k, sc in enumerate(whole) if (sc[:, :1] - sc[:, 1:]).min() <= 2 * self.gain]
-        parts = [(some[i], a, b) for i, a, b in self.undecided([whole[k] for k in some])] if some else []
+        whole: dict[int, np.ndarray] = {}
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = np.array([len(w) for w in windows])
+        part_of_long = np.array([len(stretches[k]) for k, _ in owner]) != size
+        half = (WINDOW - STRIDE) // 2
+        for part in map(np.array, side_by_side(size.tolist(), 768, 768 * WINDOW)):
+            block = self.scores([windows[i] for i in part])
+            lead, enter = (x.transpose(1, 0, 2).reshape(-1, len(part)) for x in self.leads(block))
+            beyond = np.arange(len(lead))[:, None] >= size[part]
+            lead[beyond] = enter[beyond] = 1e9
+            # whether some run, entered here and carried on, can come out ahead
+            total = np.cumsum(self.gain - lead, axis=0, dtype=np.float64)
+            near = (np.maximum.accumulate(total[::-1], axis=0)[::-1] - total + self.extra > enter).any(0)
+            for j in np.flatnonzero(near | part_of_long[part]):
+                k, at = owner[part[j]]
+                n = size[part[j]]
+                own = block[:, :, :, j].transpose(2, 0, 1).reshape(-1, STATES)
+                if n == len(stretches[k]):
+                    whole[k], known[k] = own[:n], (lead[:n, j], enter[:n, j])
+                    continue
+                if k not in whole:
+                    whole[k] = np.empty((len(stretches[k]), STATES), np.float32)
+                # the first half of an overlap belongs to the window before, the second to the one after
+                skip, stop = half if at else 0, n if at + n == len(stretches[k]) else n - half
+                whole[k][at + skip : at + stop] = own[skip:stop]
+        some = list(whole)
+        parts = [(some[i], a, b) for i, a, b in self.undecided([known[k] if k in known else self.leads(whole[k]) for k in some])] if some else []
         paths = self.viterbi([whole[k][a:b] for k, a, b in parts], [(a > 0, b < len(whole[k])) for k, a, b in parts])
-        out: list[list[tuple[int, int, int]]] = [[] for _ in whole]
+        out: list[list[tuple[int, int, int]]] = [[] for _ in stretches]
         for (k, a, _), path in zip(parts, paths, strict=True):
             at = 0
             while at < len(path):

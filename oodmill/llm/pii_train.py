@@ -13,10 +13,10 @@ from collections import Counter
 
 import numpy as np
 
-from oodmill.llm.pii import _EMAIL, STATES, TYPES, VOCABULARY, WEIGHTS, WINDOW, Tagger, encode, find, segments
+from oodmill.llm.pii import _EMAIL, BARRED, BARRED_START, PAD, SHUT, STATES, STEP, TYPES, VOCABULARY, WEIGHTS, WINDOW, Tagger, encode, find, segments
 
 LABELLED_DOCS = 10_000
-HIDDEN, BATCH, EPOCHS, RATE, SEED = 40, 128, 8, 8e-3, 5
+HIDDEN, BATCH, EPOCHS, RATE, SEED = 32, 64, 24, 8e-3, 5
 
 UP = "A-ZÀ-Þ"
 W = rf"[{UP}][\w'’-]+"
@@ -167,43 +167,54 @@ def examples(texts: list[str], names: re.Pattern, rng: np.random.Generator) -> l
     return out
 
 
+def shifted(ids: np.ndarray, states: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The window without its first few characters, so that mentions begin at every place of a step."""
+    n = int(rng.integers(0, STEP))
+    return (ids, states) if len(ids) <= n or states[: n + 1].any() else (ids[n:], states[n:])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 class Trainer:
+    """Both directions read STEP characters a step; the CRF is over single characters."""
+
     def __init__(self, rng: np.random.Generator, h: int = HIDDEN):
         self.h = h
         r = lambda *s, k=0.1: (rng.standard_normal(s) * k).astype(np.float32)
         self.p = {"bias": np.zeros(STATES, np.float32), "trans": r(STATES, STATES), "start": r(STATES)}
         for d in "fb":
-            self.p |= {f"w{d}": r(VOCABULARY, 4 * h, k=0.3), f"u{d}": r(h, 4 * h, k=1 / np.sqrt(h)), f"b{d}": np.zeros(4 * h, np.float32), f"o{d}": r(h, STATES, k=0.3)}
+            self.p |= {f"w{d}{i}": r(VOCABULARY, 4 * h, k=0.3) for i in range(STEP)}
+            self.p |= {f"u{d}": r(h, 4 * h, k=1 / np.sqrt(h)), f"b{d}": np.zeros(4 * h, np.float32), f"o{d}": r(h, STEP * STATES, k=0.3)}
             self.p[f"b{d}"][h : 2 * h] = 1.0
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.step = 0
 
-    def _forward(self, ids: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        t, b = ids.shape
+    def _forward(self, chars: list[np.ndarray], d: str) -> tuple[np.ndarray, list]:
+        t, b = chars[0].shape
         h = self.h
         hid, cell = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
-        hs, tape = np.empty((t, b, h), np.float32), []
-        for i in range(t):
-            g = self.p[f"w{d}"][ids[i]] + self.p[f"b{d}"] + hid @ self.p[f"u{d}"]
+        hs, tape = np.empty((t, b, h), np.float32), [None] * t
+        inputs = sum(self.p[f"w{d}{i}"][c] for i, c in enumerate(chars)) + self.p[f"b{d}"]
+        inputs[(chars[0] == PAD) & (chars[1] == PAD), :h] = SHUT
+        for i in range(t) if d == "f" else range(t - 1, -1, -1):
+            g = inputs[i] + hid @ self.p[f"u{d}"]
             s, c = _sigmoid(g[:, : 3 * h]), np.tanh(g[:, 3 * h :])
             new = s[:, h : 2 * h] * cell + s[:, :h] * c
             th = np.tanh(new)
-            tape.append((hid, cell, s, c, th))
+            tape[i] = (hid, cell, s, c, th)
             hid, cell = s[:, 2 * h :] * th, new
             hs[i] = hid
         return hs, tape
 
-    def _backward(self, ids: np.ndarray, d: str, tape: list, dhs: np.ndarray, grad: dict) -> None:
-        t, b = ids.shape
+    def _backward(self, chars: list[np.ndarray], d: str, tape: list, dhs: np.ndarray, grad: dict) -> None:
+        t, b = chars[0].shape
         h = self.h
         dh, dc = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
         dgs = np.empty((t, b, 4 * h), np.float32)
-        for i in range(t - 1, -1, -1):
+        for i in range(t - 1, -1, -1) if d == "f" else range(t):
             hid, cell, s, c, th = tape[i]
             dh += dhs[i]
             si, sf, so = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
@@ -216,52 +227,50 @@ class Trainer:
             grad[f"u{d}"] += hid.T @ dg
             dc = dc * sf
             dh = dg @ self.p[f"u{d}"].T
+        dgs[(chars[0] == PAD) & (chars[1] == PAD)] = 0.0
         flat = dgs.reshape(-1, 4 * h)
-        one = np.zeros((VOCABULARY, t * b), np.float32)
-        one[ids.reshape(-1), np.arange(t * b)] = 1
-        grad[f"w{d}"] += one @ flat
+        for i, ids in enumerate(chars):
+            one = np.zeros((VOCABULARY, t * b), np.float32)
+            one[ids.reshape(-1), np.arange(t * b)] = 1
+            grad[f"w{d}{i}"] += one @ flat
         grad[f"b{d}"] += flat.sum(0)
 
     def batch(self, data: list[tuple[np.ndarray, np.ndarray]], rate: float) -> float:
         p, h = self.p, self.h
-        b, t = len(data), max(len(x) for x, _ in data)
+        b, t = len(data), -(-max(len(x) for x, _ in data) // STEP) * STEP
         size = np.array([len(x) for x, _ in data])
-        ahead, back, gold = np.zeros((t, b), np.int64), np.zeros((t, b), np.int64), np.zeros((t, b), np.int64)
+        ids, gold = np.full((t, b), PAD, np.int64), np.zeros((t, b), np.int64)
         for j, (x, y) in enumerate(data):
-            n = len(x)
-            ahead[:n, j], back[:n, j], gold[:n, j] = x, x[::-1], y
+            ids[: len(x), j], gold[: len(x), j] = x, y
         mask = np.arange(t)[:, None] < size[None]
-        flip = np.where(mask, size[None] - 1 - np.arange(t)[:, None], np.arange(t)[:, None])
-        hf, tf = self._forward(ahead, "f")
-        hb, tb = self._forward(back, "b")
-        col = np.arange(b)[None]
-        score = hf @ p["of"] + (hb @ p["ob"])[flip, col] + p["bias"]
-        # forward-backward over the CRF
-        alpha = np.empty((t, b, STATES), np.float64)
-        alpha[0] = p["start"] + score[0]
-        for i in range(1, t):
-            x = alpha[i - 1][:, :, None] + p["trans"][None]
-            top = x.max(1)
-            new = top + np.log(np.exp(x - top[:, None]).sum(1)) + score[i]
-            alpha[i] = np.where(mask[i][:, None], new, alpha[i - 1])
-        top = alpha[-1].max(1)
-        log_z = top + np.log(np.exp(alpha[-1] - top[:, None]).sum(1))
-        beta = np.zeros((t, b, STATES))
+        chars = [ids[i::STEP] for i in range(STEP)]
+        hf, tf = self._forward(chars, "f")
+        hb, tb = self._forward(chars, "b")
+        score = (hf @ p["of"] + hb @ p["ob"]).reshape(t // STEP, b, STEP, STATES).transpose(0, 2, 1, 3).reshape(t, b, STATES) + p["bias"]
+        # forward-backward over the CRF, scaled at each character
+        top = score.max(2).astype(np.float64)
+        emit = np.exp(score - top[:, :, None])
+        trans, start = p["trans"].astype(np.float64) + BARRED, p["start"].astype(np.float64) + BARRED_START
+        move = np.exp(trans)
+        alpha, scale = np.empty((t, b, STATES)), np.ones((t, b))
+        for i in range(t):
+            a = (np.exp(start) if i == 0 else alpha[i - 1] @ move) * emit[i]
+            live = mask[i]
+            scale[i] = np.where(live, a.sum(1), 1.0)
+            alpha[i] = np.where(live[:, None], a / scale[i][:, None], alpha[i - 1] if i else a)
+        log_z = (np.log(scale) + np.where(mask, top, 0.0)).sum(0)
+        beta = np.ones((t, b, STATES))
         d_trans = np.zeros((STATES, STATES))
         for i in range(t - 2, -1, -1):
-            y = score[i + 1] + beta[i + 1]
-            x = p["trans"][None] + y[:, None, :]
-            top = x.max(2)
-            new = top + np.log(np.exp(x - top[:, :, None]).sum(2))
             live = mask[i + 1]
-            beta[i] = np.where(live[:, None], new, 0.0)
-            both = np.exp(alpha[i][:, :, None] + x - log_z[:, None, None])
-            d_trans += both[live].sum(0)
-        post = np.exp(alpha + beta - log_z[None, :, None]) * mask[:, :, None]
-        gold_score = p["start"][gold[0]] + (np.take_along_axis(score, gold[:, :, None], 2)[:, :, 0] * mask).sum(0)
-        gold_score = gold_score + (p["trans"][gold[:-1], gold[1:]] * mask[1:]).sum(0)
+            ahead = emit[i + 1] * beta[i + 1] / scale[i + 1][:, None]
+            beta[i] = np.where(live[:, None], ahead @ move.T, 1.0)
+            d_trans += alpha[i][live].T @ ahead[live] * move
+        post = alpha * beta * mask[:, :, None]
+        gold_score = start[gold[0]] + (np.take_along_axis(score, gold[:, :, None], 2)[:, :, 0] * mask).sum(0)
+        gold_score = gold_score + (trans[gold[:-1], gold[1:]] * mask[1:]).sum(0)
         loss = float((log_z - gold_score).sum() / b)
-        ds = post.copy()
+        ds = post
         np.put_along_axis(ds, gold[:, :, None], np.take_along_axis(ds, gold[:, :, None], 2) - 1, 2)
         ds = (ds * mask[:, :, None] / b).astype(np.float32)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
@@ -269,11 +278,11 @@ class Trainer:
         grad["trans"] = (d_trans / b).astype(np.float32)
         grad["start"] = ds[0].sum(0)
         grad["bias"] = ds.reshape(-1, STATES).sum(0)
-        dsb = ds[flip, col] * mask[:, :, None]
-        grad["of"] = hf.reshape(-1, h).T @ ds.reshape(-1, STATES)
-        grad["ob"] = hb.reshape(-1, h).T @ dsb.reshape(-1, STATES)
-        self._backward(ahead, "f", tf, ds @ p["of"].T, grad)
-        self._backward(back, "b", tb, dsb @ p["ob"].T, grad)
+        two = ds.reshape(t // STEP, STEP, b, STATES).transpose(0, 2, 1, 3).reshape(-1, STEP * STATES)
+        grad["of"] = hf.reshape(-1, h).T @ two
+        grad["ob"] = hb.reshape(-1, h).T @ two
+        self._backward(chars, "f", tf, (two @ p["of"].T).reshape(t // STEP, b, h), grad)
+        self._backward(chars, "b", tb, (two @ p["ob"].T).reshape(t // STEP, b, h), grad)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         self.step += 1
         for k, g in grad.items():
@@ -318,7 +327,7 @@ def main(path: str, out: str = str(WEIGHTS)) -> None:
         losses = []
         for i, s in enumerate(starts):
             at = (epoch * per + i) / (EPOCHS * per)
-            losses.append(trainer.batch(data[s : s + BATCH], RATE * min(1.0, 20 * at + 0.05) * (1 - at) ** 0.9 + 1e-5))
+            losses.append(trainer.batch([shifted(*d, rng) for d in data[s : s + BATCH]], RATE * min(1.0, 20 * at + 0.05) * (1 - at) ** 0.9 + 1e-5))
         tagger = Tagger(trainer.p)
         print(epoch, round(float(np.mean(losses)), 4), score_on(tagger, held, names), flush=True)
         np.savez_compressed(out, **{k: v.astype(np.float16) for k, v in trainer.p.items()})
