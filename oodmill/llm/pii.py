@@ -45,6 +45,8 @@ _TABLE = np.array([_char_id(chr(i)) for i in range(0x3000)], np.uint8)
 
 
 def encode(text: str) -> np.ndarray:
+    if text.isascii():
+        return _TABLE[np.frombuffer(text.encode("ascii"), np.uint8)]
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return _TABLE[np.minimum(points, 0x2FFF)]
 
@@ -52,15 +54,27 @@ def encode(text: str) -> np.ndarray:
 _BREAK = re.compile(r"[.!?]\s+(?=[A-ZÀ-Þ<])|\n\s*\n")
 
 
-def segments(text: str) -> list[tuple[int, int]]:
+# 1: blank, 2: end of a sentence, 3: line end
+_ENDS = np.zeros(256, np.uint8)
+_ENDS[[SPACE, _ID[" "], _ID["\n"]]] = 1
+_ENDS[[_ID[c] for c in ".!?" if c in _ID]] = 2
+_ENDS[_ID["\n"]] = 3
+
+
+def segments(text: str, ids: np.ndarray | None = None) -> list[tuple[int, int]]:
     """(start, end) of the stretches read at once: sentences, cut where the next cannot be part of a mention.
 
     A sentence ends after a word of four letters or more, a digit or a closing bracket; shorter words may be titles
     or initials.
     """
     out, at = [], 0
-    for m in _BREAK.finditer(text):
-        end = m.start()
+    ids = encode(text) if ids is None else ids
+    kind = _ENDS[ids]
+    for place in np.flatnonzero((kind[:-1] > 1) & (kind[1:] & 1)).tolist():
+        m = _BREAK.match(text, place) if place >= at else None
+        if not m:
+            continue
+        end = place
         if text[end] != "\n":
             before = text[end - 1 : end]
             if not (before.isdigit() or before in (")", "]") or end >= 4 and text[end - 4 : end].isalpha()):
@@ -247,7 +261,7 @@ class Tagger:
             block = self.scores([windows[i] for i in part])
             lead, enter = (x.transpose(1, 0, 2).reshape(-1, len(part)) for x in self.leads(block))
             beyond = np.arange(len(lead))[:, None] >= size[part]
-            lead[beyond] = enter[beyond] = 1e9
+            lead[beyond] = enter[beyond] = 1e3
             # whether some run, entered here and carried on, can come out ahead
             total = np.cumsum(self.gain - lead, axis=0, dtype=np.float64)
             near = (np.maximum.accumulate(total[::-1], axis=0)[::-1] - total + self.extra > enter).any(0)
@@ -331,7 +345,7 @@ def find(tagger: Tagger, texts: list[str | None], memo: dict[bytes, list] | None
     plan, fresh = [], {}
     for text in texts:
         ids = encode(text) if text else np.empty(0, np.uint8)
-        parts = [(a, b, ids[a:b].tobytes()) for a, b in segments(text)] if text else []
+        parts = [(a, b, ids[a:b].tobytes()) for a, b in segments(text, ids)] if text else []
         plan.append(parts)
         for _, _, key in parts:
             if key not in memo:

@@ -16,7 +16,7 @@ import numpy as np
 from oodmill.llm.pii import _EMAIL, BARRED, BARRED_START, PAD, SHUT, STATES, STEP, TYPES, VOCABULARY, WEIGHTS, WINDOW, Tagger, encode, find, segments
 
 LABELLED_DOCS = 10_000
-HIDDEN, BATCH, EPOCHS, RATE, SEED = 32, 64, 24, 8e-3, 5
+HIDDEN, BATCH, EPOCHS, RATE, SEED = 28, 64, 24, 8e-3, 5
 
 UP = "A-ZÀ-Þ"
 W = rf"[{UP}][\w'’-]+"
