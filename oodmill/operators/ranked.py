@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oodmill.session import cut, parallelism
+from oodmill.session import cut, merged, parallelism
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def running_totals(df: DataFrame, order: list[Column], sums: list[str], keys: li
     )
     inside = Window.partitionBy("_p", *keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*names)).alias("_r"), *[F.sum(s).over(inside).alias(f"_c_{s}") for s in sums])
-    placed = local.join(F.broadcast(offsets) if not keys else offsets, [*keys, "_p"])
+    placed = local.join(F.broadcast(offsets) if not keys else merged(offsets), [*keys, "_p"])
     return placed.select(
         *[F.col(f"`{c}`") for c in df.columns],
         (F.col("_r") + F.col("_b_n")).alias("position"),

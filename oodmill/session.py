@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -29,13 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    jsc = spark.sparkContext._jsc.sc()
+    """Folder all executors share, from spark.checkpoint.dir. Only where driver and executors are one process may it be
+    unset: a temporary folder then serves, and is removed at the end. On a cluster a missing setting is an error."""
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = jsc.getCheckpointDir()
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="oodmill-"))
-    return configured or jsc.getCheckpointDir().get()
+        if not configured:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="oodmill-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        sc.setCheckpointDir(configured)
+    return configured or sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A join side that is sorted and merged, not broadcast, whatever its size turns out to be: for sides that grow with
+    the data. Skewed keys are still split."""
+    return df.hint("merge")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
