@@ -8,23 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oodmill.operators.graph import connected_components
-from oodmill.session import cut
+from oodmill.session import cut, merged
 
 
 def tied_groups(df: DataFrame, row: str, ties: dict[str, Column]) -> DataFrame:
     """(row_id, component[, one column a tie]): rows sharing the value of any tie, directly or through other rows.
 
     NULL values tie nothing; a row without any value is its own group, and its component is NULL. Links run between
-    values, not rows: rows with equal values collapse before the first shuffle, however many there are. Repeated rows
-    keep their place. An empty table gives an empty result.
+    values, not rows: rows with equal values collapse before the first shuffle, however many there are. Values that
+    are whole numbers stay such, which makes the rounds of contraction cheapest; texts work as well, as long as all
+    ties are of one kind. Repeated rows keep their place. An empty table gives an empty result.
     """
     rows = cut(df.select(F.col(f"`{row}`").alias("row_id"), *[v.alias(f"t{i}") for i, v in enumerate(ties.values())]))
     names = [f"t{i}" for i in range(len(ties))]
-    node = [F.when(F.col(t).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(t))) for i, t in enumerate(names)]
+    whole = all(rows.schema[t].dataType.simpleString() in ("int", "bigint") for t in names)
+    # a node is a value and its tie, in one number or text
+    node = [F.col(t).cast("bigint") * len(names) + i if whole else F.when(F.col(t).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(t))) for i, t in enumerate(names)]
     anchor = F.coalesce(*node)
     links = reduce(DataFrame.union, [rows.select(anchor.alias("u"), n.alias("v")) for n in node]).where("u is not null and v is not null").distinct()
     parts = connected_components(links)
-    keyed = rows.withColumn("node", anchor).join(parts, "node", "left").drop("node")
+    keyed = rows.withColumn("node", anchor).join(merged(parts), "node", "left").drop("node")
     return keyed.select("row_id", "component", *[F.col(t).alias(name) for t, name in zip(names, ties, strict=True)])
 
 

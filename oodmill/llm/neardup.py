@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oodmill.operators.graph import connected_components
-from oodmill.session import cut, parallelism
+from oodmill.session import cut, merged, parallelism
 
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -74,7 +74,7 @@ def distinct_sequences(df: DataFrame, row: str, seq: str) -> tuple[DataFrame, Da
     """(members: class_id, row_id; classes: class_id, seq). Equal sequences form one class, named by a row of it."""
     base = cut(df.select(F.col(f"`{row}`").alias("row_id"), F.col(f"`{seq}`").alias("seq")).where("seq is not null"))
     classes = cut(base.groupBy("seq").agg(F.min("row_id").alias("class_id")).select("class_id", "seq"))
-    return base.join(classes, "seq").select("class_id", "row_id"), classes
+    return base.join(merged(classes), "seq").select("class_id", "row_id"), classes
 
 
 def similar_classes(
@@ -83,8 +83,10 @@ def similar_classes(
     """(a, b, similarity), a < b: classes whose sets of k-letter windows share at least threshold of their union.
 
     Candidates share one of the MinHash bands; a pair is compared chunk by chunk on one byte of each MinHash value and
-    dropped once the posterior probability of reaching the threshold falls below tolerance; the rest is verified
-    exactly. With 48 bands of 3 a pair at 0.6 is missed with probability 8e-6, at 0.7 with 1e-9.
+    dropped once the posterior probability of reaching the threshold falls below tolerance; only then are the
+    sequences fetched and the rest is verified exactly. With 48 bands of 3 a pair at 0.6 is missed with probability
+    8e-6, at 0.7 with 1e-9. Every join is a merge join, so nothing that grows with the classes is broadcast, and a band
+    key that many classes hold is split by AQE's skew join.
     """
     n = rows * bands
     steps = list(range(chunk, n + 1, chunk))
@@ -103,10 +105,10 @@ def similar_classes(
                 band = (band * np.uint64(0x9E3779B97F4A7C15)) ^ (h[:, :, i] + np.uint64(i) + (band >> np.uint64(31)))
             band = (band * np.uint64(0xD6E8FEB86659FD93)) ^ np.arange(bands, dtype=np.uint64)
             yield pd.DataFrame(
-                {"class_id": batch["class_id"], "seq": batch["seq"], "sig": [r.tobytes() for r in sig.astype(np.uint8)], "keys": list(band.astype(np.int64))}
+                {"class_id": batch["class_id"], "sig": [r.tobytes() for r in sig.astype(np.uint8)], "keys": list(band.astype(np.int64))}
             )
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
@@ -117,45 +119,49 @@ def similar_classes(
             for i, step in enumerate(steps):
                 seen[alive] += (left[alive, step - chunk : step] == right[alive, step - chunk : step]).sum(1)
                 alive = alive[seen[alive] >= least[i]]
+            yield pd.DataFrame({"a": batch["a"].to_numpy()[alive], "b": batch["b"].to_numpy()[alive]})
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes: dict[int, np.ndarray] = {}
             a, b, sim = [], [], []
-            codes: dict[str, np.ndarray] = {}
-            for i in alive:
-                x, y = batch["seq_a"].iat[i], batch["seq_b"].iat[i]
-                for s in (x, y):
-                    if s not in codes:
-                        codes[s] = window_codes(s, k)
-                cx, cy = codes[x], codes[y]
-                shared = len(np.intersect1d(cx, cy, assume_unique=True))
-                union = len(cx) + len(cy) - shared
+            for i, j, x, y in zip(batch["a"], batch["b"], batch["seq_a"], batch["seq_b"], strict=True):
+                for c, s in ((i, x), (j, y)):
+                    if c not in codes:
+                        codes[c] = window_codes(s, k)
+                shared = len(np.intersect1d(codes[i], codes[j], assume_unique=True))
+                union = len(codes[i]) + len(codes[j]) - shared
                 if shared >= threshold * union - 1e-9:
-                    a.append(batch["a"].iat[i])
-                    b.append(batch["b"].iat[i])
+                    a.append(i)
+                    b.append(j)
                     sim.append(shared / union)
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "similarity": np.array(sim, float)})
 
-    signed = cut(classes.repartition(parallelism(classes.sparkSession), "class_id").mapInPandas(sign, "class_id bigint, seq string, sig binary, keys array<bigint>"))
+    dealt = classes.repartition(parallelism(classes.sparkSession), "class_id")
+    signed = cut(dealt.mapInPandas(sign, "class_id bigint, sig binary, keys array<bigint>"))
     keys = signed.select("class_id", F.explode("keys").alias("key"))
     # keys of one class alone leave before the join
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = keys.join(shared, "key")
+    held = keys.join(merged(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")), "key")
     pairs = (
         held.withColumnRenamed("class_id", "a")
-        .join(held.withColumnRenamed("class_id", "b"), "key")
+        .join(merged(held.withColumnRenamed("class_id", "b")), "key")
         .where("a < b")
         .select("a", "b")
         .distinct()
     )
-    side = lambda c: signed.select(F.col("class_id").alias(c), F.col("seq").alias(f"seq_{c}"), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(judge, "a bigint, b bigint, similarity double")
+    sig = lambda c: merged(signed.select(F.col("class_id").alias(c), F.col("sig").alias(f"sig_{c}")))
+    seq = lambda c: merged(classes.select(F.col("class_id").alias(c), F.col("seq").alias(f"seq_{c}")))
+    likely = pairs.join(sig("a"), "a").join(sig("b"), "b").mapInPandas(prune, "a bigint, b bigint")
+    return likely.join(seq("a"), "a").join(seq("b"), "b").mapInPandas(verify, "a bigint, b bigint, similarity double")
 
 
 def row_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(row_id_a, row_id_b), smaller first: all pairs of rows in linked classes and of rows in one class."""
     left = members.select(F.col("class_id").alias("a"), F.col("row_id").alias("x"))
     right = members.select(F.col("class_id").alias("b"), F.col("row_id").alias("y"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
+    across = pairs.select("a", "b").join(merged(left), "a").join(merged(right), "b").select("x", "y")
     copies = members.groupBy("class_id").count().where("count > 1").select(F.col("class_id").alias("a"))
-    within = copies.join(left, "a").join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    within = copies.join(merged(left), "a").join(merged(right), F.col("a") == F.col("b")).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
@@ -180,8 +186,8 @@ def near_duplicate_groups(df: DataFrame, row: str, seq: str, k: int = 5, thresho
     pairs = cut(similar_classes(classes, k, threshold))
     both = pairs.select(F.col("a").alias("class_id")).union(pairs.select(F.col("b").alias("class_id")))
     links = both.groupBy("class_id").agg(F.count("*").alias("links"))
-    parts = connected_components(pairs, "a", "b").select(F.col("node").cast("bigint").alias("class_id"), F.col("component").cast("bigint").alias("group_id"))
-    grouped = members.join(links, "class_id", "left").join(parts, "class_id", "left")
+    parts = connected_components(pairs, "a", "b").select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    grouped = members.join(merged(links), "class_id", "left").join(merged(parts), "class_id", "left")
     found = grouped.select("row_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     nothing = rows.where("seq is null").select("row_id", *[F.lit(None).cast("bigint").alias(c) for c in ("class_id", "group_id")], F.lit(0).cast("bigint").alias("links"))
     return found.unionByName(nothing)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oodmill.session import cut, parallelism
+from oodmill.session import cut, merged, parallelism
 
 SORTED = 12  # letters by which suffixes are ordered: 12 letters of 5 bits fill a 60-bit key
 SIGMA = 27
@@ -185,15 +185,15 @@ def cross_split_pairs(df: DataFrame, row: str, ident: Column, seq: Column, split
     base = cut(df.select(F.col(f"`{row}`").alias("row_id"), ident.alias("ident"), seq.alias("seq"), split.alias("split")).where("split in ('train', 'val', 'test')"))
     train = base.where("split = 'train'")
     held = base.where("split <> 'train'")
-    named = train.where("ident is not null").select("ident", F.col("row_id").alias("train_row")).join(held.select("ident", F.col("row_id").alias("eval_row")), "ident").drop("ident")
+    named = train.where("ident is not null").select("ident", F.col("row_id").alias("train_row")).join(merged(held.select("ident", F.col("row_id").alias("eval_row"))), "ident").drop("ident")
     classes = cut(
         base.where("seq is not null")
         .groupBy("seq")
         .agg(F.min("row_id").alias("class_id"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
     )
     found = alike_across(classes.where("in_train"), classes.where("in_eval"), k, least)
-    member = lambda side, c, r: side.join(classes.select("seq", "class_id"), "seq").select(F.col("class_id").alias(c), F.col("row_id").alias(r))
-    alike = found.join(member(train, "train_class", "train_row"), "train_class").join(member(held, "eval_class", "eval_row"), "eval_class")
+    member = lambda side, c, r: side.join(merged(classes.select("seq", "class_id")), "seq").select(F.col("class_id").alias(c), F.col("row_id").alias(r))
+    alike = found.join(merged(member(train, "train_class", "train_row")), "train_class").join(merged(member(held, "eval_class", "eval_row")), "eval_class")
     both = named.select("train_row", "eval_row", F.lit(True).alias("same_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("containment", "double"), ("covered", "bigint"), ("longest", "bigint"))])
     rows = both.unionByName(alike.select("train_row", "eval_row", F.lit(False).alias("same_id"), "containment", "covered", "longest"))
     return rows.groupBy("train_row", "eval_row").agg(F.max("same_id").alias("same_id"), *[F.max(c).alias(c) for c in ("containment", "covered", "longest")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oodmill.functions.dates import lenient_date
 from oodmill.functions.identifiers import BLANK, accession, accessions, entry_code, letters, sample_id, split_name
 from oodmill.llm import fusion, grouping, leakage, neardup, overlap, packing, pii, terms
-from oodmill.session import cut, table
+from oodmill.session import cut, merged, table
 
 
 def _pair_key() -> F.Column:
@@ -81,20 +81,28 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicate_groups(_sequences(spark, sf), "row_id", "seq")
 
 
+def _number(code: F.Column) -> F.Column:
+    """Codes and accessions are at most ten letters or digits, so each is a whole number to the base 36, one to one."""
+    return F.conv(code, 36, 10).cast("bigint")
+
+
 def _tied(spark: SparkSession, sf: str) -> DataFrame:
-    return grouping.tied_groups(table(spark, sf, "annotated_chains"), "row_id", {"entry": entry_code(F.col("pdb_id")), "acc": accession(F.col("uniprot"))})
+    chains = table(spark, sf, "annotated_chains")
+    return grouping.tied_groups(chains, "row_id", {"entry": _number(entry_code(F.col("pdb_id"))), "acc": _number(accession(F.col("uniprot")))})
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = cut(_tied(spark, sf).where("component is not null"))
-    groups = rows.groupBy("component").agg(F.count("*").alias("n"), F.min("acc").alias("group_key")).where("n > 1 and group_key is not null")
-    return rows.join(groups, "component").select("row_id", "group_key")
+    # accessions have one length, so the least number is the least text
+    groups = rows.groupBy("component").agg(F.count("*").alias("n"), F.min("acc").alias("acc")).where("n > 1 and acc is not null")
+    named = groups.select("component", F.lpad(F.conv(F.col("acc").cast("string"), 10, 36), 10, "0").alias("group_key"))
+    return rows.join(merged(named), "component").select("row_id", "group_key")
 
 
 def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
     """(row_id, group_key, split): every row; rows that nothing ties are groups of their own."""
     shares = {r["split"]: r["share"] for r in table(spark, sf, "split_targets").collect()}
-    rows = _tied(spark, sf).withColumn("group", F.coalesce("component", F.concat(F.lit("row:"), F.col("row_id"))))
+    rows = _tied(spark, sf).withColumn("group", F.coalesce(F.concat(F.lit("tie:"), F.col("component")), F.concat(F.lit("row:"), F.col("row_id"))))
     chains = table(spark, sf, "annotated_chains")
     method = F.upper(F.regexp_replace(F.coalesce("method", F.lit("")), "[^A-Za-z]", ""))
     labels = {
