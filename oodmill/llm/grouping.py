@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oodmill.operators.graph import connected_components
+from oodmill.operators.ranked import running_totals
 from oodmill.session import cut, merged
 
 
@@ -31,79 +33,84 @@ def tied_groups(df: DataFrame, row: str, ties: dict[str, Column]) -> DataFrame:
     return keyed.select("row_id", "component", *[F.col(t).alias(name) for t, name in zip(names, ties, strict=True)])
 
 
-def stratified_group_split(
-    rows: DataFrame, group: str, labels: dict[str, Column], shares: dict[str, float], big_share: float = 0.001, bins: int = 64
-) -> DataFrame:
+def _levelled(need: dict[str, float], count: int, each: float) -> dict[str, int]:
+    """How many of `count` equal groups each split gets if one after another goes to the split that needs most.
+
+    Giving always to the neediest levels the needs, so all but the last few are known at once: the common level to which
+    they sink. The last ones are given one by one.
+    """
+    order = sorted(need, key=lambda s: (-need[s], s))
+    level = next(
+        x for i in range(1, len(order) + 1)
+        for x in [(sum(need[s] for s in order[:i]) - count * each) / i]
+        if i == len(order) or x >= need[order[i]]
+    )
+    given = {s: max(0, floor((need[s] - level) / each)) for s in order}
+    left = {s: need[s] - given[s] * each for s in order}
+    while sum(given.values()) > count:
+        most = min((s for s in order if given[s]), key=lambda s: (left[s], s))
+        given[most] -= 1
+        left[most] += each
+    for _ in range(count - sum(given.values())):
+        most = max(order, key=lambda s: (left[s], s))
+        given[most] += 1
+        left[most] -= each
+    return given
+
+
+def stratified_group_split(rows: DataFrame, group: str, labels: dict[str, Column], shares: dict[str, float], steps: int = 8) -> DataFrame:
     """(group, size, split): whole groups given to splits so that sizes and labels keep the wanted shares.
 
-    Grouped iterative stratification. Groups get label vectors (the counts of each label and of rows). The rarest
-    outstanding label comes first; its groups, largest first, go to the split that needs this label most, then needs
-    most rows. Groups of at least big_share of all rows are placed one by one on the driver (there are at most
-    1 / big_share of them); the rest is placed in cells of (rarest label, size bin): the driver divides the wanted
-    counts of a cell between the splits, and running sums in hashed order inside the cell's subcells place the groups.
-    Rows with NULL group are groups of their own row when the caller gives them keys; here NULL groups are left out.
+    Grouped iterative stratification. Groups get label vectors (the counts of each label and of rows). The label with
+    the fewest rows outstanding comes first, counted again after each label; its groups, those with most rows of it
+    first, go one after another to the split that needs this label most. Groups without any label come last, by rows.
+
+    Groups alike (same label in turn, counts of it and of rows within a `steps`-th of a doubling) are one cell and are
+    counted with their mean vector, so the driver holds one row a cell: at most labels x the square of steps x the
+    doublings of the largest group, whatever the number of groups. How many groups of a cell a split gets follows in closed form from the rule
+    above; which ones, from their place in hashed order, found by running totals. Large groups are alone in their
+    cells, so they are placed one by one, exactly. This is the only path, for groups and tables of any size.
+
+    At most 16 labels (the patterns of labels present are counted on the driver). Rows with NULL group are left out: give
+    them keys of their own. An empty table gives no row.
     """
+    if len(labels) > 16:
+        raise ValueError("at most 16 labels")
     counted = [F.coalesce(F.sum(v.cast("int")), F.lit(0)).alias(f"l{i}") for i, v in enumerate(labels.values())]
-    vectors = cut(rows.where(F.col(f"`{group}`").isNotNull()).groupBy(F.col(f"`{group}`").alias("group")).agg(F.count("*").alias("size"), *counted))
     names = [f"l{i}" for i in range(len(labels))]
-    total = vectors.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    order = sorted((n for n in names if total[n]), key=lambda n: (total[n], n))
-    rank = reduce(lambda acc, n: acc.when(F.col(n) > 0, F.lit(order.index(n))), order[1:], F.when(F.col(order[0]) > 0, F.lit(0))) if order else F.lit(None)
-    placed = vectors.withColumn("rank", F.coalesce(rank.cast("int"), F.lit(len(order))))
-    need = {s: {n: total[n] * w for n in ["size", *names]} for s, w in shares.items()}
-    limit = max(1.0, big_share * total["size"])
-    big = placed.where(F.col("size") >= limit).orderBy("rank", F.desc("size"), "group").collect()
-    fixed: list[tuple[str, str]] = []
-    cells = (
-        placed.where(F.col("size") < limit)
-        .withColumn("cell", F.floor(F.log2("size")).cast("int"))
-        .groupBy("rank", "cell")
-        .agg(F.sum("size").alias("size"), *[F.sum(n).alias(n) for n in names])
-        .collect()
-    )
-    quota: list[tuple[int, int, str, float, float]] = []
-
-    def take(split: str, vector, part: float = 1.0) -> None:
-        for n in ["size", *names]:
-            need[split][n] -= part * vector[n]
-
-    for k in range(len(order) + 1):
-        key = order[k] if k < len(order) else "size"
-        for g in (b for b in big if b["rank"] == k):
-            best = max(shares, key=lambda s: (need[s][key] / max(shares[s], 1e-12), need[s]["size"], s))
-            fixed.append((g["group"], best))
-            take(best, g)
-        for c in sorted((c for c in cells if c["rank"] == k), key=lambda c: -c["cell"]):
-            want = {s: max(0.0, need[s][key]) for s in shares}
-            whole = sum(want.values())
-            part = {s: want[s] / whole if whole else w for s, w in shares.items()}
-            low = 0.0
-            for i, (s, p) in enumerate(part.items()):
-                # the last bound lies beyond 1, so rounding leaves no group without a split
-                quota.append((k, c["cell"], s, low, 2.0 if i == len(part) - 1 else low + p))
-                low += p
-                take(s, c, p)
-    spark = rows.sparkSession
-    bounds = spark.createDataFrame(quota, "rank int, cell int, split string, low double, high double")
-    # inside a cell, hashed subcells are cut by their own running sums, so no window holds a whole cell
-    subcell = F.pmod(F.xxhash64("group"), F.lit(bins * 64))
-    spread = Window.partitionBy("rank", "cell", "subcell").orderBy("group")
-    small = (
-        placed.where(F.col("size") < limit)
-        .withColumn("cell", F.floor(F.log2("size")).cast("int"))
-        .withColumn("subcell", subcell)
-    )
-    held = small.groupBy("rank", "cell", "subcell").agg(F.sum("size").alias("held"))
-    before = held.withColumn("start", F.sum("held").over(Window.partitionBy("rank", "cell").orderBy("subcell")) - F.col("held")).withColumn(
-        "whole", F.sum("held").over(Window.partitionBy("rank", "cell"))
-    )
-    at = (F.col("start") + F.sum("size").over(spread) - F.col("size") / 2) / F.col("whole")
-    inside = (
-        small.join(before.drop("held"), ["rank", "cell", "subcell"])
-        .withColumn("at", at)
-        .join(F.broadcast(bounds), ["rank", "cell"])
-        .where("at >= low and at < high")
-        .select("group", "size", "split")
-    )
-    heavy = F.broadcast(spark.createDataFrame(fixed, "group string, split string"))
-    return vectors.join(heavy, "group").select("group", "size", "split").unionByName(inside)
+    vectors = rows.where(F.col(f"`{group}`").isNotNull()).groupBy(F.col(f"`{group}`").alias("group")).agg(F.count("*").alias("size"), *counted)
+    present = reduce(lambda acc, c: acc + c, [F.when(F.col(n) > 0, 1 << i).otherwise(0) for i, n in enumerate(names)], F.lit(0))
+    vectors = cut(vectors.withColumn("present", present))
+    patterns = vectors.groupBy("present").agg(*[F.sum(n).alias(n) for n in ["size", *names]]).collect()
+    order: list[str] = []
+    while True:
+        rest = [p for p in patterns if not any(p["present"] >> names.index(n) & 1 for n in order)]
+        left = {n: sum(p[n] for p in rest) for n in names if n not in order}
+        left = {n: c for n, c in left.items() if c}
+        if not left:
+            break
+        order.append(min(left, key=lambda n: (left[n], n)))
+    turn = reduce(lambda acc, n: acc.when(F.col(n) > 0, F.lit(order.index(n))), order[1:], F.when(F.col(order[0]) > 0, F.lit(0))) if order else F.lit(None)
+    placed = vectors.withColumn("turn", F.coalesce(turn.cast("int"), F.lit(len(order))))
+    own = reduce(lambda acc, i: acc.when(F.col("turn") == i, F.col(order[i])), range(len(order)), F.when(F.col("turn") == len(order), F.col("size")))
+    step = lambda c: F.floor(F.log2(c.cast("double")) * steps).cast("int")
+    placed = cut(placed.withColumn("cell", step(own)).withColumn("cell2", step(F.col("size"))))
+    keys = ["turn", "cell", "cell2"]
+    cells = placed.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(n).cast("double").alias(n) for n in ["size", *names]]).collect()
+    need = {s: {n: float(sum(p[n] for p in patterns)) * w for n in ["size", *names]} for s, w in shares.items()}
+    bounds: list[tuple[int, int, int, str, int, int]] = []
+    for c in sorted(cells, key=lambda c: (c["turn"], -c["cell"], -c["cell2"])):
+        key = order[c["turn"]] if c["turn"] < len(order) else "size"
+        # equal needs of the label are decided by the rows needed: a share of them far below one row
+        want = {s: need[s][key] + 1e-9 * need[s]["size"] for s in shares}
+        low = 0
+        for s, k in _levelled(want, c["n"], c[key] / c["n"]).items():
+            if k:
+                bounds.append((*(c[x] for x in keys), s, low, low + k))
+                low += k
+            for n in ["size", *names]:
+                need[s][n] -= c[n] / c["n"] * k
+    given = rows.sparkSession.createDataFrame(bounds, "turn int, cell int, cell2 int, split string, low bigint, high bigint")
+    ordered = running_totals(placed.select("group", "size", *keys), [F.xxhash64("group"), F.col("group")], [], keys)
+    # one row a cell and split: bounded as the cells are
+    return ordered.join(F.broadcast(given), keys).where("position > low and position <= high").select("group", "size", "split")

@@ -99,8 +99,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(merged(named), "component").select("row_id", "group_key")
 
 
-def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """(row_id, group_key, split): every row; rows that nothing ties are groups of their own."""
+def _stratified(spark: SparkSession, sf: str) -> DataFrame:
+    """(row_id, group_key, split and the labels) of every row."""
     shares = {r["split"]: r["share"] for r in table(spark, sf, "split_targets").collect()}
     rows = _tied(spark, sf).withColumn("group", F.coalesce(F.concat(F.lit("tie:"), F.col("component")), F.concat(F.lit("row:"), F.col("row_id"))))
     chains = table(spark, sf, "annotated_chains")
@@ -111,7 +111,23 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
     }
     held = cut(rows.join(chains.select("row_id", *[c.alias(n) for n, c in labels.items()]), "row_id"))
     splits = grouping.stratified_group_split(held, "group", {n: F.col(n) for n in labels}, shares)
-    return held.select("row_id", "group").join(splits.select("group", "split"), "group").select("row_id", F.col("group").alias("group_key"), "split")
+    return held.select("row_id", "group", *labels).join(merged(splits.select("group", "split")), "group").select("row_id", F.col("group").alias("group_key"), "split", *labels)
+
+
+def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """(row_id, group_key, split): every row; rows that nothing ties are groups of their own."""
+    return _stratified(spark, sf).select("row_id", "group_key", "split")
+
+
+def p5_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Per split: groups, rows, the share of all rows beside the one wanted, and of the rows of each label."""
+    got = _stratified(spark, sf)
+    labels = got.columns[3:]
+    one = got.groupBy("split").agg(F.count_distinct("group_key").alias("groups"), F.count("*").alias("rows"), *[F.count_if(F.col(c)).alias(c) for c in labels])
+    whole = one.agg(*[F.sum(c).alias(f"all_{c}") for c in ("rows", *labels)])
+    return table(spark, sf, "split_targets").join(one, "split", "left").crossJoin(F.broadcast(whole)).select(
+        "split", "groups", "rows", F.round("share", 4).alias("wanted"), *[F.round(F.col(c) / F.col(f"all_{c}"), 4).alias(f"{c}_share") for c in ("rows", *labels)]
+    )
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +174,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p6_found, p6_terms, p7_containers, p7_room, p8_found, p8_clean_documents, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p5_shares, p6_found, p6_terms, p7_containers, p7_room, p8_found, p8_clean_documents, p9_found, p9_redacted)}
 _ACC = "[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){2}"
 _ONE = f"(?:^|[^A-Z0-9])({_ACC})(?:[^A-Z0-9]|$)"
 _LETTERS = "regexp_replace(upper(aa_seq), '[^A-Z]', '', 'g')"
