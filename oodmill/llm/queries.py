@@ -166,6 +166,17 @@ def p8_clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf, "documents"), "doc_id", _leaks(spark, sf)).select("doc_id", "source", "doc_kind", "n_chars")
 
 
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the passages stand in the documents."""
+    return leakage.leaked_spans(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "item_text")
+
+
+def p8_cut_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, the leaked passages cut out of its text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return leakage.without_passages(docs, "text", table(spark, sf, "eval_items"), "item_id", "item_text")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.mentions(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "pii_type", "start_char")
 
@@ -174,7 +185,7 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p5_shares, p6_found, p6_terms, p7_containers, p7_room, p8_found, p8_clean_documents, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p2_report, p3_found, p3_groups, p5_found, p5_splits, p5_shares, p6_found, p6_terms, p7_containers, p7_room, p8_found, p8_clean_documents, p8_spans, p8_cut_documents, p9_found, p9_redacted)}
 _ACC = "[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){2}"
 _ONE = f"(?:^|[^A-Z0-9])({_ACC})(?:[^A-Z0-9]|$)"
 _LETTERS = "regexp_replace(upper(aa_seq), '[^A-Z]', '', 'g')"

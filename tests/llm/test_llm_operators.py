@@ -297,11 +297,11 @@ ITEM = "A student aligns eleven copies of each domain-swapped lyase and sees the
     ],
 )
 def test_leaks_are_seen(text):
-    assert list(leakage.Passages.of([(7, ITEM)], 13).find(np.array([1]), [text]))[0][:2] == (1, 7)
+    assert list(leakage.Passages([(7, ITEM)], 13).find(np.array([1]), [text]))[0][:2] == (1, 7)
 
 
 def test_no_leak_below_thirteen_words_or_inside_words():
-    p = leakage.Passages.of([(7, ITEM), (8, "too short"), (9, "")], 13)
+    p = leakage.Passages([(7, ITEM), (8, "too short"), (9, "")], 13)
     w = ITEM.split()
     texts = [None, "", " ".join(w[2:13]), " ".join(w[:6] + ["sample"] + w[7:13]), "pre" + "".join(w[3:16]), " ".join(w[1:13]) + "x", "a" * 100_000]
     assert "domain-swapped" in w[1:13]  # counts as two words
@@ -318,6 +318,66 @@ def test_leak_operator_in_blocks(spark):
     assert leakage.leaked(docs, "doc_id", "text", items.limit(0), "item_id", "item_text").count() == 0
 
 
+@pytest.mark.parametrize("before", ["", "<i>so</i> &amp; ", "Ã¤h &#8217; ﬁ\n> ", "a" * 70_000 + " "])
+@pytest.mark.parametrize("item", [ITEM, ITEM.upper().replace(" ", "\n"), "<b>" + ITEM.replace(" of ", "&nbsp;<i>of</i> ").replace("copies", "co­pies")])
+def test_spans_stand_where_the_text_has_them(before, item):
+    text = before + item + " and the rest"
+    (span,) = leakage.Passages([(7, ITEM)], 13).spans(text)
+    assert span[0] == 7 and text[span[1] : span[2]].lower().endswith(ITEM.split()[-1].lower().strip("."))
+    start = text.index(item) + (3 if item.startswith("<b>") else 0)
+    assert span[1] == start
+
+
+def test_traced_text_is_the_visible_text(spark, sf):
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("text").collect():
+        assert leakage.traced(r["text"]).text == leakage.visible(r["text"])
+
+
+def test_passages_are_cut_and_the_rest_is_kept(spark):
+    docs = table(spark, [(1, "before " + ITEM + " after", 0), (2, "nothing", 1), (3, None, 2)], "doc_id bigint, text string, start_char int")
+    items = table(spark, [(5, ITEM), (6, ITEM)], "item_id bigint, item_text string")
+    got = {r["doc_id"]: (r["text"], r["start_char"]) for r in leakage.without_passages(docs, "text", items, "item_id", "item_text", "[cut]", block_chars=10).collect()}
+    assert got[1][0].startswith("before [cut]") and got[1][0].endswith(" after") and "student" not in got[1][0]
+    assert got[2] == ("nothing", 1) and got[3] == (None, 2)
+    spans = leakage.leaked_spans(docs, "doc_id", "text", items, "item_id", "item_text").collect()
+    assert sorted((r["doc_id"], r["item_id"], r["start_char"]) for r in spans) == [(1, 5, 7), (1, 6, 7)]
+
+
+def test_a_block_of_items_stays_small():
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 12, 2000)]
+    p = leakage.Passages([(i, " ".join(words[j] for j in rng.integers(0, 2000, 3000))) for i in range(100)], 13)
+    assert p.nbytes < 7 * len(p.letters) + (1 << 23)  # 30 million letters stay below 200 MB
+
+
+def test_few_or_many_groups_keep_the_shares(spark):
+    rng = np.random.default_rng(1)
+    sizes = [400, 300, *rng.integers(1, 40, 400)]
+    rows = [(f"g{g}", bool(rng.random() < 0.3), bool(rng.random() < 0.05)) for g, n in enumerate(sizes) for _ in range(n)]
+    df = table(spark, [(*r, "x", 0) for r in rows], "grp string, a boolean, b boolean, split string, size int")
+    shares = {"train": 0.7, "val": 0.1, "test": 0.2}
+    got = grouping.stratified_group_split(df, "grp", {"a": F.col("a"), "b": F.col("b")}, shares).collect()
+    assert len(got) == len({r[0] for r in rows}) and sum(r["size"] for r in got) == len(rows)
+    of = {r["group"]: r["split"] for r in got}
+    for keep in (lambda r: True, lambda r: r[1], lambda r: r[2]):
+        some = [of[r[0]] for r in rows if keep(r)]
+        assert all(abs(some.count(s) / len(some) - w) < 0.02 for s, w in shares.items())
+    assert grouping.stratified_group_split(df.limit(0), "grp", {"a": F.col("a")}, shares).count() == 0
+
+
+def test_levelling_equals_one_by_one():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        need = {s: float(rng.uniform(-20, 100)) for s in "abc"}
+        count, each = int(rng.integers(1, 60)), float(rng.uniform(0.5, 9))
+        left, want = dict(need), dict.fromkeys(need, 0)
+        for _ in range(count):
+            s = max(sorted(left), key=lambda s: left[s])
+            want[s] += 1
+            left[s] -= each
+        assert grouping._levelled(need, count, each) == want
+
+
 # -- 9: personal information
 
 MAIL = "Contact Marella Stovington (m.stovington@labmail.example) about the model. Call +1 (800) 555-0143 before shipping dewars."
