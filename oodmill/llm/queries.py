@@ -43,10 +43,19 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("key").alias("pair_key"), "row_id", "resolution_row_id", "release_row_id")
 
 
+def _representative() -> F.Column:
+    """representative_id in one spelling: codes in lower case, bare accessions, the sides in order; NULL if it is none."""
+    sides = F.transform(F.split("representative_id", "--"), lambda t: F.struct(entry_code(F.regexp_extract(t, "^(.*?)__", 1)).alias("code"), F.regexp_extract(t, "__([A-Za-z0-9]+)_", 1).alias("chain"), accession(t).alias("acc")))
+    whole = F.filter(sides, lambda x: x["code"].isNotNull() & (x["chain"] != "") & x["acc"].isNotNull())
+    return F.when(F.size(whole) == 2, F.array_join(F.array_sort(F.transform(whole, lambda x: F.concat(x["code"], F.lit("__"), x["chain"], F.lit("_"), x["acc"]))), "--"))
+
+
 def p1_fused(spark: SparkSession, sf: str) -> DataFrame:
-    got = fusion.survivors(table(spark, sf, "ppi_pairs_corrected_seq95"), F.nullif(_pair_key(), F.lit("")), "row_id", _source(), _fields(), prior="flat")
-    rounded = [F.round(f"{c}_posterior", 4).alias(f"{c}_posterior") for c in ("structure_priority", "resolution", "release")]
-    return got.select(F.col("key").alias("pair_key"), "row_id", "structure_priority", "resolution", F.date_add(F.lit("1970-01-01").cast("date"), F.col("release").cast("int")).alias("release_date"), *rounded)
+    """The values of greatest posterior of each pair, and the record that holds most of it."""
+    fields = [*_fields(), fusion.Field("representative_id", _representative(), "any")]
+    got = fusion.survivors(table(spark, sf, "ppi_pairs_corrected_seq95"), F.nullif(_pair_key(), F.lit("")), "row_id", _source(), fields, prior="flat")
+    rounded = [F.round(f"{f.name}_posterior", 4).alias(f"{f.name}_posterior") for f in fields]
+    return got.select(F.col("key").alias("pair_key"), "row_id", "structure_priority", "resolution", F.date_add(F.lit("1970-01-01").cast("date"), F.col("release").cast("int")).alias("release_date"), "representative_id", *rounded)
 
 
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,13 +42,19 @@ def test_survivors_empty(spark):
 
 
 def test_copied_votes_are_discounted():
-    claims = [{"value": 1.0, "source": 0}, {"value": 2.0, "source": 1}, {"value": 2.0, "source": 2}]
     accuracy, apart, copied = np.array([0.9, 0.8, 0.8]), np.zeros((3, 3)), np.zeros((3, 3))
     copied[1, 2] = copied[2, 1] = 1.0
-    free = fusion.Belief(accuracy, apart, (10,)).posteriors(0, claims)
-    tied = fusion.Belief(accuracy, copied, (10,)).posteriors(0, claims)
-    assert free[2.0] > free[1.0] and tied[1.0] > tied[2.0]
-    assert sum(free.values()) <= 1 and sum(tied.values()) <= 1
+    score = lambda copies, sources: (lambda v: v[0] * np.log(10) + v[1])(fusion.Belief(accuracy, copies).votes(sources))
+    assert score(apart, [1, 2]) > score(apart, [0]) and score(copied, [0]) > score(copied, [1, 2])
+
+
+def test_text_fields_are_fused_by_votes(spark):
+    rows = [("a", 1, "x", 1, 1.0, "p", 0, ""), ("a", 2, "y", 2, 1.0, "p", 0, ""), ("a", 3, "z", 3, 1.0, "q", 0, ""), ("a", 4, "z", 3, 1.0, "q", 0, ""), ("b", 5, "x", 1, 1.0, None, 0, ""), ("b", 6, "y", 1, 1.0, None, 0, "")]
+    both = [*fields(), fusion.Field("name", F.col("value"), "any")]
+    for prior in ("flat", "order"):
+        got = {r["key"]: r for r in fusion.survivors(table(spark, rows, SCHEMA), F.col("k"), "id", F.col("src"), both, prior=prior).collect()}
+        # two sources against one that says it twice
+        assert (got["a"]["name"], got["a"]["name_row_id"]) == ("p", 1) and (got["b"]["name"], got["b"]["name_row_id"]) == (None, 0)
 
 
 def test_shared_false_values_speak_for_copying():
@@ -66,7 +72,7 @@ def test_fusion_finds_the_truth_of_mostly_right_sources(spark):
         for src, value in (("x", truth if g % 7 else 9.5), ("w", truth if g % 5 else 9.7), ("v", truth if g % 6 else 9.9), ("y", 12.0 + g % 3), ("z", 12.0 + g % 3)):
             i += 1
             rows.append((f"g{g}", i, src, 1, value, "", 0, ""))
-    got = fusion.survivors(table(spark, rows, SCHEMA), F.col("k"), "id", F.col("src"), fields(), prior="flat", rounds=3).collect()
+    got = fusion.survivors(table(spark, rows, SCHEMA), F.col("k"), "id", F.col("src"), fields(), prior="flat").collect()
     assert sum(r["res"] == 1.0 + int(r["key"][1:]) % 9 for r in got) >= 55
 
 
