@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oodmill.session import cut, parallelism
+from oodmill.session import cut, joined_on, parallelism
 
 BIG = "decimal(38,0)"
 
@@ -17,61 +17,47 @@ def unpivot(df: DataFrame, columns: list[str], load: str, order: str | None = No
     return df.select(*keep, pairs.alias("cell")).select(*[k for k in (["load"] + (["row"] if order else []))], "cell.*")
 
 
-def value_curves(cells: DataFrame, keys: list[str], value: Column, weight: str = "n") -> DataFrame:
-    """Cumulative counts along the sorted values of each group of keys, without a window over a whole group.
+def value_curves(cells: DataFrame, keys: list[str], value: str, weights: list[str]) -> DataFrame:
+    """cells with cum_<w> of each weight and rank: running sums along the sorted values of each group of keys, without a
+    window over a whole group.
 
-    cells: one row a (keys, value) with its count. The rows are range-partitioned by (keys, value); each partition
-    sums its rows a group, the prefix of these sums over partitions (one row a partition and group) is joined back,
-    and a running sum inside the partition completes the curve. A group of any size is thus spread over tasks.
+    cells: one row a (keys, value). The rows are range-partitioned by (keys, value); each partition sums its rows a
+    group, the prefix of these sums over partitions (one row a partition and group) is joined back, and a running sum
+    inside the partition completes the curve. A group of any size is thus spread over tasks.
     """
-    spark = cells.sparkSession
-    n = parallelism(spark)
-    ranged = cells.withColumn("_v", value).repartitionByRange(n, *keys, "_v").withColumn("_p", F.spark_partition_id())
-    ranged = cut(ranged)
-    sums = ranged.groupBy(*keys, "_p").agg(F.sum(weight).alias("_s"), F.count("*").alias("_d"))
+    ranged = cut(cells.repartitionByRange(parallelism(cells.sparkSession), *keys, value).withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_p").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights], F.count("*").alias("_d"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys, "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d0")
-    )
-    inside = Window.partitionBy("_p", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    curve = ranged.select("*", F.sum(weight).over(inside).alias("_c"), F.count("*").over(inside).alias("_r"))
-    return (
-        curve.join(offsets, [*keys, "_p"])
-        .withColumn("cum", F.col("_c") + F.col("_s0"))
-        .withColumn("rank", F.col("_r") + F.col("_d0"))
-        .drop("_p", "_c", "_r", "_s0", "_d0")
+    offsets = sums.select(*keys, "_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_0{c}") for c in [*[f"_s_{w}" for w in weights], "_d"]])
+    inside = Window.partitionBy("_p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    curve = ranged.select("*", *[F.sum(w).over(inside).alias(f"_c_{w}") for w in weights], F.count("*").over(inside).alias("_r"))
+    return joined_on(curve, offsets, [*keys, "_p"]).select(
+        *cells.columns, *[(F.col(f"_c_{w}") + F.col(f"_0_s_{w}")).alias(f"cum_{w}") for w in weights], (F.col("_r") + F.col("_0_d")).alias("rank")
     )
 
 
-def load_pairs(df: DataFrame, load: str, feed: str | None) -> DataFrame:
-    """(load, prev): each load with the next smaller one of its feed; first loads fall away."""
-    series = [F.col(f"`{feed}`").alias("feed")] if feed else [F.lit(0).alias("feed")]
-    seen = df.select(F.col(f"`{load}`").alias("load"), *series).where(F.col("load").isNotNull()).distinct()
-    prev = F.lag("load").over(Window.partitionBy("feed").orderBy("load"))
-    return seen.select("feed", "load", prev.alias("prev")).where("prev is not null")
+def load_steps(df: DataFrame, load: str, feed: str) -> DataFrame:
+    """(feed, load, prev, next): each load with its neighbours in its feed; NULL where there is none."""
+    seen = df.select(F.col(f"`{feed}`").alias("feed"), F.col(f"`{load}`").alias("load")).where("load is not null").distinct()
+    w = Window.partitionBy("feed").orderBy("load")
+    return seen.select("feed", "load", F.lag("load").over(w).alias("prev"), F.lead("load").over(w).alias("next"))
 
 
-def drift(cells: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distances between the value mixes of consecutive loads, from merged cumulative curves.
+def merged_curves(cells: DataFrame, steps: DataFrame, points: list[str]) -> DataFrame:
+    """Of each load and column the cumulative counts of its values and of those of the load before, along one sorted axis.
 
-    cells: (load, feed, column_name, value, n), one row a distinct value, NULL not among them. Gives, for each pair of
-    loads and column with values in both, tv2 = 2 * v1 * v2 * total variation and ks1 = v1 * v2 * the
-    Kolmogorov-Smirnov distance as exact integers, with v1 and v2 the numbers of values.
+    cells: feed, load, column_name and the columns of `points`, one row a cell. Gives (feed, load, column_name, point,
+    n1, n2, cum_n1, cum_n2): counts in the load before and in the load itself, and their running sums. Each cell counts
+    for its load and the next one in the same aggregation, so cells are shuffled once, combined, and sorted once.
     """
-    totals = cells.groupBy("feed", "load", "column_name").agg(F.sum("n").cast(BIG).alias("v"))
-    sized = pairs.join(totals.withColumnRenamed("v", "v2"), ["feed", "load"]).join(
-        totals.select("feed", F.col("load").alias("prev"), "column_name", F.col("v").alias("v1")), ["feed", "prev", "column_name"]
-    )
-    now = cells.join(pairs, ["feed", "load"]).select("feed", "load", "column_name", "value", F.col("n").alias("n2"), F.lit(0).cast("bigint").alias("n1"))
-    old = cells.withColumnRenamed("load", "prev").join(pairs, ["feed", "prev"]).select(
-        "feed", "load", "column_name", "value", F.lit(0).cast("bigint").alias("n2"), F.col("n").alias("n1")
-    )
-    both = now.union(old).groupBy("feed", "load", "column_name", "value").agg(F.sum("n1").cast(BIG).alias("n1"), F.sum("n2").cast(BIG).alias("n2"))
-    step = both.join(sized, ["feed", "load", "column_name"]).withColumn("d", F.expr("cast(n1 * v2 - n2 * v1 as decimal(38,0))"))
-    curve = value_curves(step, ["feed", "load", "column_name"], F.col("value"), "d")
-    return curve.groupBy("feed", "load", "prev", "column_name", "v1", "v2").agg(
-        F.sum(F.abs("d")).alias("tv2"), F.max(F.abs("cum")).alias("ks1"), F.count("*").alias("values")
-    )
+    near = steps.select("feed", "load", "next")
+    joined = joined_on(cells, near, ["feed", "load"])
+    one, no = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    ahead = F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("load"), one.alias("n1"), no.alias("n2")))
+    sides = F.array_compact(F.array(F.struct(F.col("load").alias("load"), no.alias("n1"), one.alias("n2")), ahead))
+    counted = joined.select("feed", F.explode(sides).alias("s"), "column_name", *points).groupBy("feed", "s.load", "column_name", *points).agg(F.sum("s.n1").alias("n1"), F.sum("s.n2").alias("n2"))
+    keyed = counted.select("feed", "load", "column_name", F.struct(*points).alias("point"), "n1", "n2")
+    return value_curves(keyed, ["feed", "load", "column_name"], "point", ["n1", "n2"])
 
 
 def quality_issues(
@@ -92,24 +78,25 @@ def quality_issues(
     ).select("load", "feed", "row", "cell.*")
     missing = F.col("value").isNull() | (F.length("value") == 0)
     bad = cells.where(~missing & ~F.col("fits")).select("load", "column_name", F.lit("pattern").alias("issue"), "row")
-    state = F.when(missing, "missing").when(F.col("fits"), "valid").otherwise("bad")
-    counts = cut(
-        cells.select("load", "feed", "column_name", state.alias("state"), F.when(state == "valid", F.col("value")).alias("value"))
-        .groupBy("load", "feed", "column_name", "state", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    pairs = load_pairs(bare.select("load", "feed"), "load", "feed")
-    gone = counts.groupBy("feed", "load", "column_name").agg(
-        F.sum("n").cast(BIG).alias("rows"), F.coalesce(F.sum(F.when(F.col("state") == "missing", F.col("n"))), F.lit(0)).cast(BIG).alias("m")
-    )
-    was = gone.select("feed", F.col("load").alias("prev"), "column_name", F.col("rows").alias("rows1"), F.col("m").alias("m1"))
-    shares = pairs.join(gone, ["feed", "load"]).join(was, ["feed", "prev", "column_name"])
+    state = F.when(missing, 0).when(F.col("fits"), 2).otherwise(1)
+    staged = cells.select("feed", "load", "column_name", state.alias("state"), F.when(state == 2, F.col("value")).alias("value"))
+    steps = load_steps(bare, "load", "feed")
+    # missing values come first on the axis, malformed ones next, valid ones last: the curves give all counts
+    curve = cut(merged_curves(staged, steps, ["state", "value"])).where(F.col("load").isNotNull())
+    part = F.col("point.state")
+    upto = lambda w, s: F.coalesce(F.max(F.when(part <= s, F.col(f"cum_{w}"))), F.lit(0)).cast(BIG)
+    ends = curve.groupBy("feed", "load", "column_name").agg(*[upto(f"n{i}", s).alias(f"{name}{i}") for i in (1, 2) for s, name in ((0, "m"), (1, "off"), (2, "rows"))])
+    ends = cut(ends.where("rows1 > 0").selectExpr("*", "rows1 - off1 as v1", "rows2 - off2 as v2"))
     scaled = round(null_shift * 1_000_000)
-    nulls = shares.where(F.expr(f"abs(m * rows1 - m1 * rows) * 1000000 > {scaled} * rows * rows1")).select(
-        "load", "column_name", F.lit("null_shift").alias("issue"), F.lit(0).cast("bigint").alias("row")
+    nulls = ends.where(F.expr(f"abs(m2 * rows1 - m1 * rows2) * 1000000 > {scaled} * rows2 * rows1")).select("load", "column_name", F.lit("null_shift").alias("issue"), F.lit(0).cast("bigint").alias("row"))
+    keys = ["feed", "load", "column_name"]
+    # twice the distance: how far the difference of the two curves moves in all, from one valid value to the next
+    moved = (
+        joined_on(curve.where(part == 2), ends, keys)
+        .groupBy(*keys, "v1", "v2")
+        .agg(F.sum(F.expr("abs(cast(n1 * v2 - n2 * v1 as decimal(38,0)))")).alias("tv2"))
     )
-    moved = drift(counts.where("state = 'valid'").drop("state"), pairs)
-    values = moved.where(F.expr(f"tv2 * 1000000 > {2 * round(value_shift * 1_000_000)} * v1 * v2")).select(
+    values = moved.where(F.expr(f"v1 > 0 and v2 > 0 and tv2 * 1000000 > {2 * round(value_shift * 1_000_000)} * v1 * v2")).select(
         "load", "column_name", F.lit("value_shift").alias("issue"), F.lit(0).cast("bigint").alias("row")
     )
     return bad.unionByName(nulls).unionByName(values).select(F.col("load").alias("load_id"), "column_name", "issue", F.col("row").alias("row_id"))
@@ -118,7 +105,8 @@ def quality_issues(
 def column_profile(df: DataFrame, load: str, feed: str, numeric: list[str], other: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """One row a (load, column): rows, nulls, exact distinct count, least and greatest value, exact quantiles
     (nearest rank, numeric columns only) and the exact Kolmogorov-Smirnov distance to the load before (NULL for a
-    first load). NaN counts as null in numeric columns.
+    first load, or where either load has no value). NaN counts as null in numeric columns; rows without load are left
+    out. All of it is read off one merged curve.
     """
     cast = [F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"n{i}") for i, c in enumerate(numeric)]
     bare = df.select(F.col(f"`{load}`").alias("load"), F.col(f"`{feed}`").alias("feed"), *cast, *[F.col(f"`{c}`").cast("string").alias(f"s{i}") for i, c in enumerate(other)])
@@ -126,20 +114,23 @@ def column_profile(df: DataFrame, load: str, feed: str, numeric: list[str], othe
     structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("num"), nothing.cast("string").alias("text")) for i, c in enumerate(numeric)]
     structs += [F.struct(F.lit(c).alias("column_name"), nothing.cast("double").alias("num"), F.col(f"s{i}").alias("text")) for i, c in enumerate(other)]
     cells = bare.select("load", "feed", F.explode(F.array(*structs)).alias("cell")).select("load", "feed", "cell.*")
-    counts = cut(cells.groupBy("load", "feed", "column_name", "num", "text").agg(F.count("*").alias("n")))
-    full = counts.where("num is not null or text is not null")
-    # one sortable key: numbers order as numbers, texts as texts
-    curve = value_curves(full, ["feed", "load", "column_name"], F.struct("num", "text"))
-    totals = counts.groupBy("feed", "load", "column_name").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("num").isNull() & F.col("text").isNull(), F.col("n")).otherwise(0)).alias("nulls")
-    )
-    at = [F.min(F.when(F.col("cum") >= F.ceil(F.lit(q) * (F.col("rows") - F.col("nulls"))), F.col("num"))).alias(f"q{round(q * 100):02d}") for q in quantiles]
-    stats = curve.join(totals, ["feed", "load", "column_name"]).groupBy("feed", "load", "column_name").agg(
-        F.max("rank").alias("distinct_values"),
-        F.min(F.coalesce(F.col("num").cast("string"), F.col("text"))).alias("_any"),
-        F.min("num").alias("min_num"), F.max("num").alias("max_num"), F.min("text").alias("min_text"), F.max("text").alias("max_text"), *at,
-    ).drop("_any")
-    key = F.struct("num", "text")
-    moved = drift(full.select("load", "feed", "column_name", key.alias("value"), "n"), load_pairs(df, load, feed))
-    ks = moved.select("feed", "load", "column_name", F.round(F.col("ks1").cast("double") / (F.col("v1").cast("double") * F.col("v2").cast("double")), 6).alias("ks"))
-    return totals.join(stats, ["feed", "load", "column_name"], "left").join(ks, ["feed", "load", "column_name"], "left")
+    # nulls come first on the axis; numbers order as numbers, texts as texts
+    null = F.col("num").isNull() & F.col("text").isNull()
+    curve = merged_curves(cells.withColumn("held", (~null).cast("int")), load_steps(bare, "load", "feed"), ["held", "num", "text"])
+    keys = ["feed", "load", "column_name"]
+    curve = cut(curve.select(*keys, "point.*", "n1", "n2", "cum_n1", "cum_n2"))
+    nulls = lambda w: F.coalesce(F.max(F.when(F.col("held") == 0, F.col(w))), F.lit(0))
+    ends = curve.groupBy(*keys).agg(
+        F.max("cum_n2").alias("rows"), nulls("n2").alias("nulls"), (F.max("cum_n1") - nulls("n1")).alias("v1"), nulls("n1").alias("nulls1"),
+    ).withColumn("v2", F.col("rows") - F.col("nulls"))
+    ends = cut(ends.where("rows > 0"))
+    held = joined_on(curve.where("held = 1"), ends, keys)
+    own = lambda c: F.when(F.col("n2") > 0, F.col(c))
+    at = [F.min(F.when((F.col("n2") > 0) & (F.col("cum_n2") - F.col("nulls") >= F.ceil(F.lit(q) * F.col("v2"))), F.col("num"))).alias(f"q{round(q * 100):02d}") for q in quantiles]
+    apart = F.max(F.abs(F.expr("cast(cum_n1 - nulls1 as decimal(38,0)) * v2 - cast(cum_n2 - nulls as decimal(38,0)) * v1")))
+    ks = F.when((F.first("v1") > 0) & (F.first("v2") > 0), F.round(apart.cast("double") / (F.first("v1").cast("double") * F.first("v2").cast("double")), 6))
+    stats = held.groupBy(*keys).agg(
+        F.count_if(F.col("n2") > 0).alias("distinct_values"), F.min(own("num")).alias("min_num"), F.max(own("num")).alias("max_num"),
+        F.min(own("text")).alias("min_text"), F.max(own("text")).alias("max_text"), *at, ks.alias("ks"),
+    )
+    return joined_on(ends, stats, keys, "left").select(*keys, "rows", "nulls", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), *stats.columns[4:])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from oodmill.operators import profile
 from oodmill.session import table
@@ -18,7 +19,8 @@ def p4_profile(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "ood_flags")
     keys = {"load_id", "feed_id"}
     numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "double") and c not in keys]
-    other = [c for c, t in df.dtypes if c not in keys and c not in numeric]
+    other = [c for c, t in df.dtypes if c not in keys and c not in numeric and c != "annotated_at"] + ["annotated_at"]
+    df = df.withColumn("annotated_at", F.date_format("annotated_at", "yyyy-MM-dd HH:mm:ss"))
     return profile.column_profile(df, "load_id", "feed_id", numeric, other)
 
 
@@ -26,6 +28,14 @@ _CELLS = " union all ".join(
     f"select load_id, feed_id, row_id, '{c}' as column_name, {c} as v, regexp_full_match({c}, '{r}') as fits from ood_flags" for c, r in RULES.items()
 )
 
+_NUMERIC = ["row_id", "seq_length", "idr_ratio"]
+_TEXT = ["load_date", "dataset", "unique_id", "pdb_id", "chain_id", "uniprot", "default_flag", "ood_idr", "ind", *[f"seq_redundancy_{c}" for c in (90, 70, 50, 30)],
+         *[f"tm_score_0_{c}" for c in (9, 7, 5, 3)], "ood_orphan", "ood_extremeshort", "ood_extremelong", "ood_longtail"]
+_PROFILE_CELLS = " union all ".join(
+    [f"select feed_id, load_id, '{c}' as column_name, case when not isnan({c}::double) then {c}::double end as num, null::varchar as text from ood_flags" for c in _NUMERIC]
+    + [f"select feed_id, load_id, '{c}', null, {c}::varchar from ood_flags" for c in _TEXT]
+)
+
 QUERIES = {"p4_found": p4_found, "p4_profile": p4_profile}
 ORACLES = {
     "p4_found": f"""
@@ -46,4 +56,15 @@ select g.load_id, g.column_name, 'null_shift', 0 from loads l join gone g on g.f
   join gone h on h.feed_id = l.feed_id and h.load_id = l.prev and h.column_name = g.column_name where abs(g.m * h.n - h.m * g.n) * 10 > g.n * h.n
 union all
 select load_id, column_name, 'value_shift', 0 from tv where 2 * d > n1 * n2""",
+    "p4_profile": f"""
+with c as ({_PROFILE_CELLS} union all select feed_id, load_id, 'annotated_at', null, strftime(annotated_at, '%Y-%m-%d %H:%M:%S') from ood_flags),
+loads as (select feed_id, load_id, lag(load_id) over (partition by feed_id order by load_id) as prev from (select distinct feed_id, load_id from ood_flags)),
+own as (select feed_id, load_id, column_name, count(*) as rows, count(*) filter (num is null and text is null) as nulls, count(distinct num) + count(distinct text) as distinct_values, min(num) as min_num, max(num) as max_num,
+  min(text) as min_text, max(text) as max_text, quantile_disc(num, 0.25) as q25, quantile_disc(num, 0.5) as q50, quantile_disc(num, 0.75) as q75 from c group by all),
+v as (select feed_id, load_id, column_name, num, text, count(*) as n from c where num is not null or text is not null group by all),
+pair as (select feed_id, load_id, column_name, num, text, n as n2, 0 as n1 from v union all select l.feed_id, l.load_id, v.column_name, v.num, v.text, 0, v.n from v join loads l on l.feed_id = v.feed_id and l.prev = v.load_id),
+m as (select feed_id, load_id, column_name, num, text, sum(n1) as n1, sum(n2) as n2 from pair group by all),
+f as (select *, sum(n1) over w as c1, sum(n2) over w as c2, sum(n1) over g as v1, sum(n2) over g as v2 from m window w as (partition by feed_id, load_id, column_name order by num, text), g as (partition by feed_id, load_id, column_name)),
+k as (select feed_id, load_id, column_name, case when max(v1) > 0 and max(v2) > 0 then round(max(abs(c1 * v2 - c2 * v1))::double / (max(v1)::double * max(v2)::double), 6) end as ks from f group by all)
+select o.feed_id as feed, o.load_id as load, o.column_name, rows, nulls, distinct_values, min_num, max_num, min_text, max_text, q25, q50, q75, ks from own o left join k using (feed_id, load_id, column_name)""",
 }
