@@ -43,6 +43,11 @@ def masked_ratio(labels: Column) -> Column:
     return F.try_divide(F.size(F.filter(valid, lambda v: v == 1)).cast("double"), F.size(valid).cast("double"))
 
 
+def length_ratio(labels: Column) -> Column:
+    """Share of ones over the whole length, masked entries included; NULL for an empty array."""
+    return F.try_divide(F.size(F.filter(labels, lambda v: v == 1)).cast("double"), F.size(labels).cast("double"))
+
+
 def padded(c: Column, n: int, fill: int = 0) -> Column:
     return F.slice(F.concat(c, F.array_repeat(F.lit(fill), n)), 1, n)
 

@@ -40,6 +40,11 @@ def sample_id(c: Column) -> Column:
     )
 
 
+def model_accession(c: Column) -> Column:
+    """Accession of a predicted model's name, AF-accession-F1, with or without version and hash; else NULL."""
+    return _filled(F.regexp_extract(c, r"^AF-(.+?)-F1(?:-model_v6(?:-[0-9a-f]{8})?)?$", 1))
+
+
 def letters(c: Column) -> Column:
     """A sequence is its letters in upper case, nothing else; NULL if none is left."""
     return _filled(F.regexp_replace(F.upper(c), "[^A-Z]", ""))

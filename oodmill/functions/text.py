@@ -12,8 +12,13 @@ RESIDUES = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K",
     "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V", "MSE": "M", "SEC": "U", "PYL": "O",
 }
-# Affinity units in mol per litre.
-MOLAR = {"fM": 1e-15, "pM": 1e-12, "nM": 1e-9, "uM": 1e-6, "mM": 1e-3, "M": 1.0}
+# Affinity units in mol per litre; M alone is written in upper case, the others also in lower case.
+MOLAR = {"fM": 1e-15, "pM": 1e-12, "nM": 1e-9, "uM": 1e-6, "\u03bcM": 1e-6, "mM": 1e-3, "M": 1.0, "fm": 1e-15, "pm": 1e-12, "nm": 1e-9, "um": 1e-6}
+# Tags in the notes of affinity lines.
+NOTES = {
+    "incomplete_ligand": r"\[Incomplete ligand\]", "covalent_complex": r"\[Covalent complex\]", "different_protein": r"\[Different protein in assay\]",
+    "different_ligand": r"\[Different ligand in assay\]", "uncommon_element": r"\[Uncommon element:\s*([^\]]+)\]", "disulfide_bond": r"\[Disulfide bond\]",
+}
 
 
 def clean_strip(c: Column) -> Column:
@@ -58,12 +63,33 @@ def ec_third_level(codes: Column) -> Column:
 
 
 def affinity(c: Column) -> Column:
-    """struct(kind, relation, p): p is -log10 of the molar value of texts such as Kd=10nM or IC50<5uM; NULL if none."""
-    pattern = r"^(Kd|Ki|IC50|EC50)\s*([=<>~]|<=|>=)\s*([0-9.]+(?:[eE][-+]?\d+)?)\s*(fM|pM|nM|uM|mM|M)$"
-    part = lambda k: F.regexp_extract(c, pattern, k)
+    """struct(kind, relation, p): p is -log10 of the molar value of texts such as Kd=10nM, IC50<5uM or Kd=7.3+/-0.2uM (the
+    error is left out); NULL if the text is none, its unit is unknown or its value is not positive."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"\+/-\s*[0-9]+\.?[0-9]*", ""), r"\s+", "")
+    pattern = "^(Kd|Ki|IC50|EC50)(<=|>=|[=<>~\u2264\u2265])([0-9]+\\.?[0-9]*(?:[eE][-+]?[0-9]+)?)([a-zA-Z\u03bc\u00b5]+)"
+    part = lambda k: F.regexp_extract(bare, pattern, k)
     scale = F.create_map(*[F.lit(x) for kv in MOLAR.items() for x in kv])
-    p = -F.log10(part(3).try_cast("double") * F.element_at(scale, F.when(part(4) != "", part(4)).otherwise("M")))
-    return F.when(c.rlike(pattern), F.struct(part(1).alias("kind"), part(2).alias("relation"), p.alias("p")))
+    unit = F.replace(part(4), F.lit("\u00b5"), F.lit("\u03bc"))
+    molar = part(3).try_cast("double") * F.coalesce(F.try_element_at(scale, unit), F.try_element_at(scale, F.lower(unit)))
+    return F.when(molar > 0, F.struct(part(1).alias("kind"), part(2).alias("relation"), (-F.log10(molar)).alias("p")))
+
+
+def note_tags(c: Column) -> Column:
+    """struct of the six tags of a note: whether it stands there, for the uncommon element which."""
+    cells = [
+        F.nullif(F.trim(F.regexp_extract(c, f"(?i){p}", 1)), F.lit("")).alias(k) if k == "uncommon_element" else F.coalesce(c.rlike(f"(?i){p}"), F.lit(False)).alias(k)
+        for k, p in NOTES.items()
+    ]
+    return F.struct(*cells)
+
+
+def as_bool(c: Column, kind: str) -> Column:
+    """A flag given as boolean, number (above 0.5) or text (1, 1.0, true, t, yes, y); NULL, NaN and other texts are False."""
+    if kind == "boolean":
+        return F.coalesce(c, F.lit(False))
+    if kind == "string":
+        return F.coalesce(F.lower(F.trim(c)).isin("1", "1.0", "true", "t", "yes", "y"), F.lit(False))
+    return F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0)) > 0.5
 
 
 def residue_letters(names: Column) -> Column:
@@ -81,13 +107,15 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def keyword_ngrams(c: Column) -> Column:
-    """Distinct one- and two-word keywords: hyphens part words, one-letter words are dropped."""
+def keyword_ngrams(c: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Distinct one- and two-word keywords: hyphens part words, one-letter words are dropped, and so are keywords that
+    are a stop term."""
     w = F.filter(words(c), lambda x: F.length(x) > 1)
     n = F.greatest(F.size(w) - 1, F.lit(0))
     # both halves are arrays of their own: a lambda that looked back into w would split the text again for each word
     pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat_ws(" ", x, y))
-    return F.array_distinct(F.concat(w, pairs))
+    every = F.array_distinct(F.concat(w, pairs))
+    return F.array_except(every, F.array(*[F.lit(t) for t in stop])) if stop else every
 
 
 def stem(c: Column) -> Column:

@@ -99,14 +99,21 @@ def transfer_blocks(source: str, labels: list[int], target: str) -> list[int]:
     return out
 
 
-def transfer_runs(runs: list[tuple[str, list[int]]], target: str) -> list[int] | None:
-    """Labels of unbroken runs set where each stands exactly once in target; None if one stands never or twice."""
-    out = [-1] * len(target)
-    for letters, labels in runs:
-        at = target.find(letters)
-        if at < 0 or target.find(letters, at + 1) >= 0:
+def transfer_runs(runs: list[str], sequence: str, labels: list[int]) -> list[int] | None:
+    """Labels of a sequence carried to the residues of a structure, given as unbroken runs of letters: a run that stands
+    exactly once in the sequence takes the labels of its place, all others are -1; None if two runs claim one place."""
+    out: list[int] = []
+    taken: set[int] = set()
+    for letters in runs:
+        at = sequence.find(letters) if letters else -1
+        if at < 0 or sequence.find(letters, at + 1) >= 0:
+            out += [-1] * len(letters)
+            continue
+        places = range(at, at + len(letters))
+        if not taken.isdisjoint(places):
             return None
-        out[at : at + len(letters)] = labels
+        taken.update(places)
+        out += [labels[p] for p in places]
     return out
 
 

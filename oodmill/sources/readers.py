@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,12 @@ HIT = StructType([StructField("query", StringType()), StructField("target", Stri
 CLUSTER = StructType([StructField("rep", StringType()), StructField("member", StringType())])
 
 
-def csv(spark: SparkSession, path: str, schema: StructType | str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """CSV with header; without a schema every column is text as written, empty fields are empty texts."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+def csv(spark: SparkSession, path: str, schema: StructType | str | None = None, columns: list[str] | None = None, line_breaks: bool = False) -> DataFrame:
+    """CSV with header; without a schema every column is text as written, empty fields are empty texts.
+
+    Only where fields hold line breaks must line_breaks be set: a file is then one task, else it is split.
+    """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", line_breaks)
     df = reader.schema(schema).csv(path) if schema else reader.option("nullValue", "\0").option("emptyValue", "").csv(path)
     if not schema:
         df = df.fillna("")
@@ -68,19 +72,34 @@ def newest(spark: SparkSession, path: str, key: Column) -> DataFrame:
     return files.groupBy(key.alias("key")).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file, folder or pattern names anything, in whatever file system it lies."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name, stem, suffix, bytes, modified) of the files below a folder, as a relation; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select("path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("suffix"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(id, sequence); of headers like sp|ACC|NAME the second field is the id. Of ids in several files the last wins."""
+    """(id, sequence); of headers like sp|ACC|NAME the second field is the id. Of ids in several files the last wins; files
+    that are not there are left out."""
     parts = []
-    for priority, path in enumerate(paths):
+    for priority, path in [(i, p) for i, p in enumerate(paths) if exists(spark, p)]:
         records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("r"))
         head, body = F.substring_index("r", "\n", 1), F.expr("substring(r, instr(r, '\n') + 1)")
         name = F.element_at(F.split(F.trim(head), r"\s+"), 1)
         ident = F.when(name.rlike(r"^(sp|tr)\|"), F.split(name, r"\|")[1]).otherwise(name)
         parts.append(records.where("instr(r, '\n') > 0").select(ident.alias("id"), F.regexp_replace(body, r"\s+", "").alias("sequence"), F.lit(priority).alias("p")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("id").agg(F.max_by("sequence", "p").alias("sequence"))
+    if not parts:
+        return spark.createDataFrame([], "id string, sequence string")
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.max_by("sequence", "p").alias("sequence"))
 
 
 def pdb_residues(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oodmill.operators.ood import true_flags
@@ -61,3 +61,25 @@ def markdown(df: DataFrame) -> str:
     rows = df.collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+
+
+def structures(residues: DataFrame, file: str, path: str, mode: str = "error") -> None:
+    """Residues (file, chain, resseq, icode, name, x, y, z) as fixed-column ATOM records of their CA atoms, one folder a file
+    with its records in the order of chain, number and insertion code. A range is selected by filtering before."""
+    serial = F.row_number().over(Window.partitionBy(file).orderBy("chain", "resseq", "icode"))
+    at = lambda c: F.format_string("%8.3f", F.col(c))
+    line = F.concat(
+        F.lit("ATOM  "), F.lpad(serial.cast("string"), 5, " "), F.lit("  CA  "), F.lpad("name", 3, " "), F.lit(" "), F.col("chain"), F.lpad(F.col("resseq").cast("string"), 4, " "),
+        F.rpad("icode", 1, " "), F.lit("   "), at("x"), at("y"), at("z"), F.lit("  1.00  0.00           C  "),
+    )
+    numbered = residues.select(F.col(file), "chain", "resseq", "icode", line.alias("value"))
+    numbered.repartition(file).sortWithinPartitions(file, "chain", "resseq", "icode").select(file, "value").write.mode(mode).partitionBy(file).text(path)
+
+
+def lines(df: DataFrame, path: str, *order: str, key: str | None = None, mode: str = "error", compression: str = "none") -> None:
+    """A column `value` as text, sorted inside its files; with a key, one folder a key."""
+    kept = df.repartition(key) if key else df
+    sort = [*([key] if key else []), *order]
+    kept = (kept.sortWithinPartitions(*sort) if sort else kept).select(*([key] if key else []), "value")
+    writer = kept.write.mode(mode).option("compression", compression)
+    (writer.partitionBy(key) if key else writer).text(path)

@@ -43,8 +43,10 @@ def test_transfer():
     assert alignment.transfer("ACDE", [1, 1, 1, 1], "WWWW") is None
     assert alignment.transfer("ACDE", [1], "ACDE") is None
     assert alignment.transfer_blocks("ACDE", [1, 2, 3, 4], "AXDEF") == [1, 2, 3, 4, -1]
-    assert alignment.transfer_runs([("AC", [1, 1]), ("E", [2])], "ACDE") == [1, 1, -1, 2]
-    assert alignment.transfer_runs([("A", [1])], "AA") is None
+    assert alignment.transfer_runs(["AC", "E"], "ACDE", [1, 2, 3, 4]) == [1, 2, 4]
+    # a run that stands twice or never stays -1, the others keep their labels; runs that claim one place are refused
+    assert alignment.transfer_runs(["A", "DE", "W"], "ACADE", [1, 2, 3, 4, 5]) == [-1, 4, 5, -1]
+    assert alignment.transfer_runs(["CD", "DE"], "ACDE", [1, 2, 3, 4]) is None
     assert alignment.crop("CD", "ACDE") == ("substring", 1, 3)
     assert alignment.crop("ACDEFGHIKL", "WACDEFGHWKLW")[0] == "aligned"
     assert alignment.crop("ACDE", "WWWW") == ("none", -1, -1)
