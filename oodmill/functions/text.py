@@ -156,3 +156,34 @@ def mismatch(a: Column, b: Column) -> Column:
     """How far a sequence is from that of its structure: exact, same_length, near (up to five residues) or large."""
     gap = F.abs(F.length(a) - F.length(b))
     return F.when(a == b, "exact").when(gap == 0, "same_length").when(gap <= 5, "near").when(gap.isNotNull(), "large")
+
+
+def overlap_ratio(a: Column, b: Column) -> Column:
+    """Equal letters at equal places over the longer length; 0 if either is empty."""
+    same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x.isNotNull() & y.isNotNull() & (x == y)).cast("int")), F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
+    return F.when((a == "") | (b == ""), 0.0).otherwise(same / F.greatest(F.length(a), F.length(b)))
+
+
+def identity_cascade(a: Column, b: Column) -> Column:
+    """1 if equal or one holds the other, else equal letters at equal places over the longer length; NULL if either is."""
+    held = (a != "") & (b != "") & (a.contains(b) | b.contains(a))
+    return F.when(held, 1.0).otherwise(overlap_ratio(a, b))
+
+
+def side(first: Column, second: Column, wanted: Column) -> Column:
+    """Which of two members of a pair, possibly swapped, a sequence is: by equality, by a length only one of them has, else
+    by equal letters at equal places, the first on ties."""
+    one, two = F.length(first) == F.length(wanted), F.length(second) == F.length(wanted)
+    near = F.when(overlap_ratio(first, wanted) >= overlap_ratio(second, wanted), "first_by_likeness").otherwise("second_by_likeness")
+    return F.when(first == wanted, "first").when(second == wanted, "second").when(one & ~two, "first_by_length").when(two & ~one, "second_by_length").otherwise(near)
+
+
+def entry_metadata(c: Column) -> Column:
+    """struct of a nested entry document in which each part may be a list or one object: the first method, the X-ray
+    resolution or else that of the EM reconstruction, R-factors and the day of deposition."""
+    at = lambda part, key: F.coalesce(F.get_json_object(c, f"$.{part}[0].{key}"), F.get_json_object(c, f"$.{part}.{key}"))
+    number = lambda x: x.try_cast("double")
+    return F.struct(
+        F.upper(F.get_json_object(c, "$.rcsb_id")).alias("pdb_id"), at("exptl", "method").alias("method"), F.coalesce(number(at("refine", "ls_d_res_high")), number(at("em_3d_reconstruction", "resolution"))).alias("resolution"),
+        number(at("refine", "ls_R_factor_R_work")).alias("r_work"), number(at("refine", "ls_R_factor_R_free")).alias("r_free"), F.get_json_object(c, "$.rcsb_accession_info.deposit_date").alias("deposition_date"),
+    )

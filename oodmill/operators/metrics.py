@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oodmill.operators.ranked import running_totals
@@ -60,37 +60,69 @@ def macro_f1(df: DataFrame, keys: list[str], pred: str, truth: str, classes: int
     return per.groupBy(*keys).agg(*wide)
 
 
-def fmax(df: DataFrame, row: str, score: str, y: str, thresholds: int = 500) -> DataFrame:
-    """(threshold, precision, recall, f1) of the best threshold of a fixed grid, precision and recall averaged over
-    all rows (0 where nothing is predicted); the lowest threshold wins ties.
+def fmax(df: DataFrame, row: str, score: str, y: str, thresholds: int | str | list[float] = 500, keys: list[str] | None = None) -> DataFrame:
+    """(keys, threshold, precision, recall, f1) of the best threshold, precision and recall averaged over all rows (0 where
+    nothing is predicted); the lowest threshold wins ties.
 
-    A score counts for the grid steps up to its own: counts a (row, last step) are taken once and summed from the top,
-    so no row meets all thresholds before aggregation.
+    thresholds: a number of evenly spaced steps from 0.01 to 0.99, a list of them, or "distinct": the distinct scores if
+    there are at most 500, else the 500 steps. A score counts for the steps up to its own: counts a (row, last step) are
+    taken once and summed from the top, so no row meets all thresholds before aggregation.
     """
-    lo, hi = 0.01, 0.99
-    width = (hi - lo) / (thresholds - 1)
-    step = F.least(F.floor((F.col(score) - lo) / width + 1e-9).cast("int"), F.lit(thresholds - 1))
-    totals = df.groupBy(F.col(row).alias("row")).agg(F.sum(F.col(y)).alias("truth"))
-    cells = df.where(F.col(score) >= lo).groupBy(F.col(row).alias("row"), step.alias("step")).agg(F.sum(F.col(y)).alias("tp"), F.count("*").alias("said"))
-    # the precision of a row changes only at its own steps: spans of steps between them
-    per_row = cells.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("down"), "tp", "said"))).alias("c"))
-    running = F.expr(
-        "transform(c, (x, i) -> struct(-x.down as top, if(i + 1 < size(c), -c[i + 1].down, -1) as below,"
-        " aggregate(slice(c, 1, i + 1), 0L, (a, z) -> a + z.tp) as tp, aggregate(slice(c, 1, i + 1), 0L, (a, z) -> a + z.said) as said))"
-    )
-    spans = per_row.select("row", F.explode(running).alias("s")).select("row", "s.*").join(totals, "row")
+    keys = keys or []
+    if thresholds == "distinct":
+        seen = [r[0] for r in df.select(F.col(score).cast("double")).where(F.col(score).isNotNull()).distinct().limit(501).collect()]
+        thresholds = sorted(seen) if len(seen) <= 500 else 500
+    if isinstance(thresholds, int):
+        width = 0.98 / max(1, thresholds - 1)
+        at = lambda step: F.lit(0.01) + step * width
+        step = F.least(F.floor((F.col(score) - 0.01) / width + 1e-9).cast("int"), F.lit(thresholds - 1))
+        count = thresholds
+    else:
+        steps = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
+        at = lambda step: F.element_at(steps, step + 1)
+        step = F.size(F.filter(steps, lambda t: t <= F.col(score))) - 1
+        count = len(thresholds)
+    totals = df.groupBy(*keys, F.col(row).alias("row")).agg(F.sum(F.col(y)).alias("truth"))
+    cells = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(row).alias("row"), step.alias("step")).agg(F.sum(F.col(y)).alias("tp"), F.count("*").alias("said")).where("step >= 0")
+    # the precision of a row changes only at its own steps, as many as it has classes at most
+    down = Window.partitionBy(*keys, "row").orderBy(F.desc("step"))
+    run = down.rowsBetween(Window.unboundedPreceding, 0)
+    spans = cells.select(*keys, "row", F.col("step").alias("top"), F.coalesce(F.lead("step").over(down), F.lit(-1)).alias("below"), F.sum("tp").over(run).alias("tp"), F.sum("said").over(run).alias("said")).join(totals, [*keys, "row"])
     value = [(F.col("tp") / F.col("said")).alias("p"), F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("truth").cast("double")), F.lit(0.0)).alias("r")]
     # a span adds its value at `top` and takes it away at `below`; sums from the highest step down give each threshold
-    ends = spans.select("top", "below", *value).select(F.explode(F.array(F.struct(F.col("top").alias("step"), "p", "r"), F.struct(F.col("below").alias("step"), (-F.col("p")).alias("p"), (-F.col("r")).alias("r")))).alias("e")).select("e.*")
-    grid = df.sparkSession.range(thresholds).select(F.col("id").cast("int").alias("step"))
-    at = grid.join(ends.groupBy("step").agg(F.sum("p").alias("p"), F.sum("r").alias("r")), "step", "left").fillna(0.0)
-    n = totals.count()
-    from pyspark.sql import Window
-
-    down = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)  # one row a threshold
-    curve = at.select("step", (F.sum("p").over(down) / n).alias("precision"), (F.sum("r").over(down) / n).alias("recall"))
+    ends = spans.select(*keys, "top", "below", *value).select(*keys, F.explode(F.array(F.struct(F.col("top").alias("step"), "p", "r"), F.struct(F.col("below").alias("step"), (-F.col("p")).alias("p"), (-F.col("r")).alias("r")))).alias("e")).select(*keys, "e.*")
+    number = totals.groupBy(*keys).agg(F.count("*").alias("rows"))
+    grid = number.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("step"))
+    summed = grid.join(ends.groupBy(*keys, "step").agg(F.sum("p").alias("p"), F.sum("r").alias("r")), [*keys, "step"], "left").fillna(0.0, ["p", "r"])
+    whole = Window.partitionBy(*keys).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)  # one row a threshold
+    curve = summed.select(*keys, at(F.col("step")).alias("threshold"), (F.sum("p").over(whole) / F.col("rows")).alias("precision"), (F.sum("r").over(whole) / F.col("rows")).alias("recall"))
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-10)
-    return curve.select((F.lit(lo) + F.col("step") * width).alias("threshold"), "precision", "recall", f1.alias("f1")).orderBy(F.desc(F.round("f1", 12)), "threshold").limit(1)
+    best = curve.withColumn("f1", f1).groupBy(*keys).agg(F.min(F.struct((-F.round("f1", 12)).alias("o"), "threshold", "precision", "recall", "f1")).alias("b"))
+    return best.where("b is not null").select(*keys, "b.threshold", "b.precision", "b.recall", "b.f1")
+
+
+def label_aupr(df: DataFrame, keys: list[str], label: str, score: str, y: str) -> DataFrame:
+    """(keys, micro_aupr, macro_aupr): average precision over all cells, and averaged over the labels that have a positive
+    (0 where none has)."""
+    micro = ranking(df, keys, score, y).select(*keys, F.col("auprc").alias("micro_aupr"))
+    each = ranking(df, [*keys, label], score, y)
+    macro = each.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("positives") > 0, F.col("auprc"))), F.lit(0.0)).alias("macro_aupr"))
+    return micro.join(macro, keys)
+
+
+def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, spearman): Pearson of average ranks inside each group; NULL below two rows or where a side is constant. Values
+    that are not finite are an error."""
+    held = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    for c in "ab":
+        wrong = F.isnan(c) | F.abs(c).eqNullSafe(F.lit(float("inf")))
+        held = held.withColumn(c, F.when(wrong, F.raise_error(F.lit("a value is not finite")).cast("double")).otherwise(F.col(c)))
+    ranked = held
+    for c in "ab":
+        run = running_totals(held.groupBy(*keys, c).agg(F.count("*").alias("n")), [F.col(c)], ["n"], keys)
+        ranked = ranked.join(run.select(*keys, c, (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias(f"r{c}")), [*keys, c])
+    value = F.when(F.count("*") > 1, F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")))
+    return ranked.groupBy(*keys).agg(value.alias("spearman"))
 
 
 def macro_fmax(df: DataFrame, label: str, score: str, y: str) -> DataFrame:

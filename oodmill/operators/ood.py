@@ -85,3 +85,16 @@ def nested_violations(df: DataFrame, chains: list[tuple[str, str]]) -> DataFrame
     counts = [F.count_if(F.col(a) & ~F.col(b)).alias(f"v{i}") for i, (a, b) in enumerate(chains)]
     one = df.agg(*counts)
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("inner_flag"), F.lit(b).alias("outer_flag"), F.col(f"v{i}").alias("violations")) for i, (a, b) in enumerate(chains)])).alias("r")).select("r.*")
+
+
+def axis_overlap(df: DataFrame, task: str, flags: list[str]) -> DataFrame:
+    """(task, a, b, both_true, a_only, b_only, jaccard) of each two flags in each task; jaccard is NULL where neither holds.
+
+    All pair counts are sums of one pass; no row is joined with itself.
+    """
+    held = df.select(task, *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in flags])
+    pairs = [(a, b) for i, a in enumerate(flags) for b in flags[i + 1 :]]
+    sums = held.groupBy(task).agg(*[F.count_if(f).alias(f) for f in flags], *[F.count_if(F.col(a) & F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("both_true"), (F.col(a) - F.col(f"p{i}")).alias("a_only"), (F.col(b) - F.col(f"p{i}")).alias("b_only")) for i, (a, b) in enumerate(pairs)]
+    long = sums.select(task, F.explode(F.array(*cells)).alias("c")).select(task, "c.*")
+    return long.withColumn("jaccard", F.try_divide(F.col("both_true").cast("double"), (F.col("both_true") + F.col("a_only") + F.col("b_only")).cast("double")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oodmill.plans import basics, content, curation, files, novelty, quality, relational, retention
+from oodmill.plans import basics, content, curation, evaluation, files, novelty, quality, relational, retention
 
-MODULES = [basics, files, relational, novelty, content, curation, retention, quality]
+MODULES = [basics, evaluation, files, relational, novelty, content, curation, retention, quality]
 
 
 def queries() -> dict:
