@@ -229,4 +229,25 @@ c as (select distinct row_id, case when go <> '' then 'GO:' || go when regexp_ma
   array_to_string(list_slice(list_concat(list_filter(string_split(ec, '.'), lambda p: p not in ('', '-')), ['-', '-', '-', '-']), 1, 4), '.') end as term from g),
 n as (select term, count(*) as n from c where term is not null group by 1), r as (select count(distinct row_id) as r from c where term is not null)
 select term, case when n < 3 then 'rare' else 'common' end as verdict from n, r where n < 3 or n > 0.05 * r""".replace("\\\\", "\\"),
+    "p6_terms": """
+with t as (select row_id, regexp_replace(unnest(regexp_split_to_array(lower(label), '[;,|]')), '\\s+', '', 'g') as t from sample_multilabel where label is not null),
+g as (select row_id, regexp_extract(t, '^(?:go)?[:_-]*(\\d{7})$', 1) as go, regexp_replace(t, '^ec[:_-]*', '') as ec from t),
+c as (select row_id, case when go <> '' then 'GO:' || go when regexp_matches(ec, '^[1-9]\\d*(\\.(\\d+|n\\d+|-)?){0,3}$') then
+  array_to_string(list_slice(list_concat(list_filter(string_split(ec, '.'), lambda p: p not in ('', '-')), ['-', '-', '-', '-']), 1, 4), '.') end as term from g),
+n as (select term, count(*) as occurrences, count(distinct row_id) as records from c where term is not null group by 1), r as (select count(distinct row_id) as r from c where term is not null)
+select term, occurrences, records, case when records < 3 then 'rare' when records > 0.05 * r then 'common' end as verdict from n, r""".replace("\\\\", "\\"),
+    "p5_found": f"""
+with recursive k as (select row_id, nullif(regexp_extract(lower(pdb_id), '(?:^|[^a-z0-9])([1-9][a-z0-9]{{5}})(?:[^a-z0-9]|$)', 1), '') as e, nullif(regexp_extract(upper(uniprot), '{_ONE}', 1), '') as a from annotated_chains),
+b as (select distinct 'e' || e as x, 'a' || a as y from k where e is not null and a is not null union select distinct 'a' || a, 'e' || e from k where e is not null and a is not null),
+r(n, l) as (select x, x from b union select b.y, r.l from r join b on b.x = r.n and r.l < b.y), p as (select n, min(l) as c from r group by n),
+g as (select k.row_id, k.a, coalesce(p.c, coalesce('e' || e, 'a' || a)) as c from k left join p on p.n = coalesce('e' || e, 'a' || a) where e is not null or a is not null),
+s as (select c, count(*) as n, min(a) as group_key from g group by c) select row_id, group_key from g join s using (c) where n > 1 and group_key is not null""",
+    "p3_groups": f"""
+with recursive q as (select row_id, {_LETTERS} as q from sample_multilabel where aa_seq is not null), c as (select q, min(row_id) as class_id from q where q <> '' group by q),
+w as (select class_id, unnest(list_distinct(list_transform(range(1, length(q) - 3), lambda i: substr(q, i, 5)))) as w from c where length(q) >= 5), n as (select class_id, count(*) as n from w group by 1),
+p as (select x.class_id as a, y.class_id as b, count(*) as s from w x join w y on x.w = y.w and x.class_id <> y.class_id group by all),
+l as (select a, b from p join n x on x.class_id = a join n y on y.class_id = b where s >= 0.6 * (x.n + y.n - s) - 1e-9), k as (select a, count(*) as links from l group by a),
+r(n, l) as (select a, a from l union select l.b, r.l from r join l on l.a = r.n and r.l < l.b), g as (select n, min(l) as group_id from r group by n)
+select s.row_id, c.class_id, coalesce(g.group_id, c.class_id) as group_id, coalesce(links, 0) as links from sample_multilabel s left join q on q.row_id = s.row_id and q.q <> '' left join c on c.q = q.q
+  left join k on k.a = c.class_id left join g on g.n = c.class_id""",
 }
