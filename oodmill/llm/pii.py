@@ -263,8 +263,9 @@ class Tagger:
             beyond = np.arange(len(lead))[:, None] >= size[part]
             lead[beyond] = enter[beyond] = 1e3
             # whether some run, entered here and carried on, can come out ahead
-            total = np.cumsum(self.gain - lead, axis=0, dtype=np.float64)
-            near = (np.maximum.accumulate(total[::-1], axis=0)[::-1] - total + self.extra > enter).any(0)
+            # (single precision holds a window; the slack is wider than its error)
+            total = np.cumsum(self.gain - lead, axis=0)
+            near = (np.maximum.accumulate(total[::-1], axis=0)[::-1] - total + (self.extra + 5e-3) > enter).any(0)
             for j in np.flatnonzero(near | part_of_long[part]):
                 k, at = owner[part[j]]
                 n = size[part[j]]
