@@ -66,3 +66,16 @@ def share_split(df: DataFrame, order: list[Column], train: float, val: float, ou
     return running_totals(df, order, []).withColumn(
         out, F.when(F.col("position") <= int(n * train), "train").when(F.col("position") <= int(n * (train + val)), "val").otherwise("test")
     )
+
+
+def quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """Quantile with linear interpolation over all rows; values are counted first and placed by range partitions, so no task
+    holds all of them. NULL values are left out; None where there is no other."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    run = cut(running_totals(counts, [F.col("v")], ["n"]))
+    total = run.agg(F.max("cum_n")).first()[0]
+    if not total:
+        return None
+    at = q * (total - 1)
+    low, high = run.agg(F.min(F.when(F.col("cum_n") > int(at), F.col("v"))), F.min(F.when(F.col("cum_n") > min(total - 1, int(at) + 1), F.col("v")))).first()
+    return low + (high - low) * (at - int(at))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oodmill.operators.ranked import average_rank, descending, first_per_group, nulls_last, running_totals, share_split
+from oodmill.operators.ranked import average_rank, descending, first_per_group, nulls_last, quantile, running_totals, share_split
 from oodmill.session import table
 
 QUERIES: dict = {}
@@ -193,7 +193,7 @@ def profile_missing(spark: SparkSession, sf: str) -> DataFrame:
 def quantile_top_share(spark: SparkSession, sf: str) -> DataFrame:
     """Rows at or above the 95 % quantile of all rows."""
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    cutoff = df.agg(F.percentile("l_extendedprice", F.lit(0.95))).first()[0]
+    cutoff = quantile(df, "l_extendedprice", 0.95)
     return df.where(F.col("l_extendedprice") >= cutoff)
 
 

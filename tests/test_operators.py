@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from oodmill.functions import arrays, text
 from oodmill.functions.dates import lenient_date
 from oodmill.functions.identifiers import accession, entry_code, sample_id
-from oodmill.operators import metrics, ood, profile, retention, similarity
+from oodmill.operators import evaluation, metrics, ood, profile, ranked, retention, similarity
 from oodmill.operators.graph import connected_components
 from oodmill.operators.ranked import average_rank, descending, first_per_group, nulls_last, running_totals, share_split
 
@@ -291,3 +291,53 @@ def test_ranges(spark):
 def test_null_predictors(spark):
     train = spark.createDataFrame([(0.0,), (1.0,), (1.0,), (4.0,)], "y double")
     assert metrics.null_errors(train, train.limit(1), "y").first()[1:] == (1.0, 1.5)
+
+
+# -- evaluation, flags and pools
+
+
+def test_strata_fall_back_smallest_first():
+    cell = evaluation.Cell
+    # nothing shifted: large but no stratum; one cross cell; the small cells of the flag and of rank 30 fall back
+    cells = [cell(91, 2, (False,), 100), cell(50, 2, (False,), 40), cell(30, 2, (True,), 12), cell(30, 1, (True,), 10), cell(70, 1, (False,), 15)]
+    got = {(k, n): sum(c.n for c in m) for k, n, m in evaluation.choose_strata(cells, ["odd"], 20)}
+    assert got == {("cross", "50|2|none"): 40, ("fallback", "seq 30"): 22}  # struct 1 keeps 15 after the claim, odd none
+    assert evaluation.choose_strata([], ["odd"]) == []
+
+
+def test_reference_pool_relaxes(spark):
+    rows = [(i, "none" if i < 30 else "odd", i % 2 == 0, 91.0 if i < 25 else 50.0, 2.0 if i < 5 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, scenario string, usual boolean, s double, t double")
+    size = lambda least, **k: df.where(evaluation.reference_pool(df, F.col("scenario") == "none", F.col("usual"), "s", "t", least)).count()
+    assert [size(n) for n in (2, 10, 14, 16, 100)] == [3, 13, 15, 30, 30]
+
+
+def test_failing_tasks_stand_alone(spark):
+    def broken():
+        return spark.range(3).select(F.raise_error(F.lit("no")).cast("double").alias("value"))
+
+    got = evaluation.evaluate_all({"good": lambda: spark.range(1).select(F.lit(1.0).alias("value")), "bad": broken}, "value double", spark).collect()
+    assert {r["task"]: (r["value"], r["error"] is None) for r in got} == {"good": (1.0, True), "bad": (None, False)}
+
+
+def test_booleans_of_every_kind(spark):
+    df = spark.createDataFrame([(True, 0.6, " YES "), (None, float("nan"), "no"), (False, 0.5, None), (True, None, "1.0")], "b boolean, x double, t string")
+    got = df.select(*[text.as_bool(F.col(c), k) for c, k in (("b", "boolean"), ("x", "double"), ("t", "string"))]).collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, False, False), (False, False, False), (True, False, True)]
+
+
+def test_affinities_as_they_are_written(spark):
+    for s, p in (("Kd=741.3+/-53.1uM", 3.13), ("Ki=5nm", 8.301), ("Kd≤5nM", 8.301), ("IC50 < 5 nM", 8.301), ("Kd=3μM // x", 5.523)):
+        assert abs(one(spark, s, text.affinity)["p"] - p) < 1e-3
+    assert all(one(spark, s, text.affinity) is None for s in ("Kd=5xM", "Kd=0nM", "", "Kx=1nM"))
+
+
+def test_quantile_and_thresholds(spark):
+    df = spark.createDataFrame([(float(v),) for v in [5, 1, 1, 3, 9]] + [(None,)], "v double")
+    assert ranked.quantile(df, "v", 0.5) == 3.0 and ranked.quantile(df, "v", 0.25) == 1.0 and abs(ranked.quantile(df, "v", 0.9) - 7.4) < 1e-9
+    assert ranked.quantile(df.limit(0), "v", 0.5) is None
+    s = spark.createDataFrame([(1, 0.9, 1), (1, 0.2, 0), (2, 0.4, 1), (2, 0.3, 0)], "row int, score double, y int")
+    best = metrics.fmax(s, "row", "score", "y", "distinct").first()
+    assert best["threshold"] == 0.4 and abs(best["f1"] - 1) < 1e-6
+    fixed = metrics.fmax(s, "row", "score", "y", [0.5]).first()
+    assert (fixed["precision"], fixed["recall"]) == (0.5, 0.5)
