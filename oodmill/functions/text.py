@@ -107,10 +107,9 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def keyword_ngrams(c: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Distinct one- and two-word keywords: hyphens part words, one-letter words are dropped, and so are keywords that
-    are a stop term."""
-    w = F.filter(words(c), lambda x: F.length(x) > 1)
+def ngrams(w: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Distinct words and pairs of neighbours of an array of words, without those that are a stop term. The array should be
+    a column of its own (split in an earlier projection), as it is read several times."""
     n = F.greatest(F.size(w) - 1, F.lit(0))
     # both halves are arrays of their own: a lambda that looked back into w would split the text again for each word
     pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat_ws(" ", x, y))
@@ -118,6 +117,12 @@ def keyword_ngrams(c: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.array_except(every, F.array(*[F.lit(t) for t in stop])) if stop else every
 
 
+def keyword_ngrams(c: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Distinct one- and two-word keywords: hyphens part words, one-letter words are dropped, and so are keywords that
+    are a stop term."""
+    return ngrams(F.filter(words(c), lambda x: F.length(x) > 1), stop)
+
+
 def stem(c: Column) -> Column:
     """File name without folders and extension."""
     return F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.(pdb|cif|ent)(\.gz)?$", "")

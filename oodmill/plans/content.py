@@ -9,7 +9,7 @@ from oodmill.functions import arrays, text
 from oodmill.operators import similarity
 from oodmill.operators.graph import connected_components
 from oodmill.operators.ranked import running_totals
-from oodmill.session import cut, table
+from oodmill.session import cut, merged, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -87,7 +87,7 @@ def tfidf_l2(spark: SparkSession, sf: str) -> DataFrame:
     n = docs.count()
     tf = cut(docs.select("doc_id", F.explode(text.words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    x = tf.join(df, "term").select("doc_id", ((1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("v"))
+    x = tf.join(merged(df), "term").select("doc_id", ((1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("v"))
     by = x.groupBy("doc_id").agg(F.count("*").alias("terms"), F.max("v").alias("m"), F.sum("v").alias("s"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l"))
     return by.select("doc_id", "terms", F.round(F.col("m") / F.col("l"), 5).alias("top_weight"), F.round(F.col("s") / F.col("l"), 3).alias("total"))
 
@@ -97,8 +97,8 @@ with w as (select doc_id, list_filter({_WORDS}, lambda w: length(w) > 1) as w fr
 g as (select doc_id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) as k from w)
 select k as keyword, count(*) as docs from g group by k""")
 def bigram_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("text is not null")
-    return docs.select(F.explode(text.keyword_ngrams(F.col("text"))).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("docs"))
+    docs = table(spark, sf, "documents").where("text is not null").select(F.filter(text.words(F.col("text")), lambda x: F.length(x) > 1).alias("w"))
+    return docs.select(F.explode(text.ngrams(F.col("w"))).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("docs"))
 
 
 _BITS = "list_filter(range(0, len(embedding)), lambda i: embedding[i + 1] > 0)"
