@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oodmill.operators.graph import connected_components
-from oodmill.session import cut
+from oodmill.operators.ranked import running_totals
+from oodmill.session import cut, merged
 
 
 def kmers(c: Column, k: int) -> Column:
@@ -121,3 +122,27 @@ def nearest(df: DataFrame, key: str, group: str, distance_to: Column, k: int) ->
     """k rows of least distance a group; ties by key."""
     w = Window.partitionBy(group).orderBy(distance_to, key)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def negative_pairs(entities: DataFrame, key: str, known: DataFrame, most_rounds: int = 20) -> DataFrame:
+    """(a, b), a <= b: as many unordered pairs of entities as there are entities, none of them known in either direction.
+
+    Each round matches two hashed orders of the entities place by place, so no cross product arises; pairs that are known or
+    drawn before fall away, and further rounds fill up what is missing. If unknown pairs are so few that most_rounds do not
+    reach the number, an error is raised. An entity may be paired with itself.
+    """
+    n = entities.count()
+    taken = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    drawn = None
+    for r in range(most_rounds):
+        order = lambda side, r=r: [F.md5(F.concat(F.lit(f"{side}{r}"), F.col(key).cast("string"))), F.col(key)]
+        x = running_totals(entities.select(key), order("a"), []).select(F.col(key).alias("x"), "position")
+        y = running_totals(entities.select(key), order("b"), []).select(F.col(key).alias("y"), "position")
+        new = x.join(merged(y), "position").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(r).alias("r")).dropDuplicates(["a", "b"]).join(merged(taken), ["a", "b"], "left_anti")
+        drawn = cut(new if drawn is None else drawn.unionByName(new).groupBy("a", "b").agg(F.min("r").alias("r")))
+        if drawn.count() >= n:
+            break
+    else:
+        raise RuntimeError(f"fewer than {n} unknown pairs after {most_rounds} rounds")
+    placed = running_totals(drawn, [F.col("r"), F.md5(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))), F.col("a"), F.col("b")], [])
+    return placed.where(F.col("position") <= n).select("a", "b")

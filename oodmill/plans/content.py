@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from oodmill.functions import arrays, text
 from oodmill.operators import similarity
 from oodmill.operators.graph import connected_components
-from oodmill.operators.ranked import running_totals
 from oodmill.session import cut, merged, table
 
 QUERIES: dict = {}
@@ -191,18 +190,13 @@ def knn_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with p as (select p_partkey as a, row_number() over (order by md5('a' || p_partkey::varchar), p_partkey) as rn from part), q as (select p_partkey as b, row_number() over (order by md5('b' || p_partkey::varchar), p_partkey) as rn from part),
-k as (select distinct l_partkey as a, l_suppkey as b from lineitem)
-select least(p.a, q.b) as a, greatest(p.a, q.b) as b from p join q on p.rn = q.rn anti join k on (k.a = p.a and k.b = q.b)""")
+with q as (select r, p_partkey as x, row_number() over (partition by r order by md5('a' || r::varchar || p_partkey::varchar), p_partkey) as i, row_number() over (partition by r order by md5('b' || r::varchar || p_partkey::varchar), p_partkey) as j from part, (select unnest(range(0, 6)) as r)),
+d as (select least(u.x, v.x) as a, greatest(u.x, v.x) as b, min(u.r) as r from q u join q v on u.r = v.r and u.i = v.j group by all), k as (select distinct least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b from lineitem)
+select d.a, d.b from d anti join k on k.a = d.a and k.b = d.b order by r, md5(d.a::varchar || ':' || d.b::varchar), d.a, d.b limit (select count(*) from part)""")
 def negative_sampling(spark: SparkSession, sf: str) -> DataFrame:
-    """Random pairs that are not known: two hashed orders of the entities matched place by place, known pairs removed.
-    As many pairs as entities, without any cross product."""
-    part = table(spark, sf, "part").select("p_partkey")
-    order = lambda s: [F.md5(F.concat(F.lit(s), F.col("p_partkey").cast("string"))), F.col("p_partkey")]
-    a = running_totals(part, order("a"), []).select(F.col("p_partkey").alias("a"), "position")
-    b = running_totals(part, order("b"), []).select(F.col("p_partkey").alias("b"), "position")
-    known = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
-    return a.join(b, "position").drop("position").join(known, ["a", "b"], "left_anti").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """As many random unknown pairs as entities."""
+    known = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    return similarity.negative_pairs(table(spark, sf, "part").select("p_partkey"), "p_partkey", known)
 
 
 @query("""
