@@ -14,6 +14,9 @@ RESIDUES = {
 }
 # Affinity units in mol per litre; M alone is written in upper case, the others also in lower case.
 MOLAR = {"fM": 1e-15, "pM": 1e-12, "nM": 1e-9, "uM": 1e-6, "\u03bcM": 1e-6, "mM": 1e-3, "M": 1.0, "fm": 1e-15, "pm": 1e-12, "nm": 1e-9, "um": 1e-6}
+# The form of affinity texts, and of the error in them.
+AFFINITY = "^(Kd|Ki|IC50|EC50)(<=|>=|[=<>~\u2264\u2265])([0-9]+\\.?[0-9]*(?:[eE][-+]?[0-9]+)?)([a-zA-Z\u03bc\u00b5]+)"
+ERROR = r"\+/-\s*[0-9]+\.?[0-9]*"
 # Tags in the notes of affinity lines.
 NOTES = {
     "incomplete_ligand": r"\[Incomplete ligand\]", "covalent_complex": r"\[Covalent complex\]", "different_protein": r"\[Different protein in assay\]",
@@ -65,9 +68,8 @@ def ec_third_level(codes: Column) -> Column:
 def affinity(c: Column) -> Column:
     """struct(kind, relation, p): p is -log10 of the molar value of texts such as Kd=10nM, IC50<5uM or Kd=7.3+/-0.2uM (the
     error is left out); NULL if the text is none, its unit is unknown or its value is not positive."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"\+/-\s*[0-9]+\.?[0-9]*", ""), r"\s+", "")
-    pattern = "^(Kd|Ki|IC50|EC50)(<=|>=|[=<>~\u2264\u2265])([0-9]+\\.?[0-9]*(?:[eE][-+]?[0-9]+)?)([a-zA-Z\u03bc\u00b5]+)"
-    part = lambda k: F.regexp_extract(bare, pattern, k)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), ERROR, ""), r"\s+", "")
+    part = lambda k: F.regexp_extract(bare, AFFINITY, k)
     scale = F.create_map(*[F.lit(x) for kv in MOLAR.items() for x in kv])
     unit = F.replace(part(4), F.lit("\u00b5"), F.lit("\u03bc"))
     molar = part(3).try_cast("double") * F.coalesce(F.try_element_at(scale, unit), F.try_element_at(scale, F.lower(unit)))
