@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oodmill.operators.graph import connected_components
 from oodmill.operators.ranked import running_totals
+from oodmill.operators.stretches import candidates
 from oodmill.session import cut, merged
 
 
@@ -56,6 +59,55 @@ def prefix_pairs(df: DataFrame, key: str, items: str, least: float) -> DataFrame
     return scored.where(F.col("jaccard") >= least - 1e-12)
 
 
+def _marks(text: str, k: int, bits: int = 2048) -> tuple[int, bytes]:
+    """(distinct windows, a bitmap with the bit of each window's hash set)."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code = np.zeros(len(points) - k + 1, np.uint64)
+    for i in range(k):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + points[i : i + len(code)]
+    flags = np.zeros(bits, np.uint8)
+    flags[((code * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) % np.uint64(bits)] = 1
+    code.sort()
+    return int((code[1:] != code[:-1]).sum()) + 1, np.packbits(flags).tobytes()
+
+
+def _may_reach(x: list[tuple[int, bytes]], y: list[tuple[int, bytes]], least: float) -> np.ndarray:
+    """Whether two sets may have that Jaccard similarity: a bit that one bitmap lacks is a window that one set lacks."""
+    nx, ny = (np.array([n for n, _ in side], np.int64) for side in (x, y))
+    bx, by = (np.frombuffer(bytearray().join(b for _, b in side), np.uint64).reshape(len(side), -1) for side in (x, y))
+    mx, my = np.bitwise_count(bx & ~by).sum(1, dtype=np.int64), np.bitwise_count(by & ~bx).sum(1, dtype=np.int64)
+    return np.minimum((nx - mx) / (ny + mx), (ny - my) / (nx + my)) >= least - 1e-12
+
+
+def window_pairs(df: DataFrame, key: str, text: str, k: int, least: float, run: int = 2) -> DataFrame:
+    """(a, b, x, y, jaccard), a < b: all pairs of distinct texts x, y whose sets of k-letter windows reach the Jaccard
+    similarity `least`, exactly.
+
+    Such a pair shares 2 * least / (1 + least) of the windows of the text with fewer of them, so candidates meet on stretches
+    of windows; texts are fetched for these alone and compared. Nothing that grows with the table is broadcast. NULL texts
+    and those shorter than k have no pair.
+    """
+    texts = cut(df.select(F.col(key).alias("id"), F.col(text).alias("seq")).where(F.length("seq") >= k))
+    near = candidates(texts, None, k, 2 * least / (1 + least), run)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks: dict[str, tuple[int, bytes]] = {}
+        for batch in batches:
+            if len(marks) > 100_000:
+                marks.clear()
+            for s in {*batch["x"], *batch["y"]} - marks.keys():
+                marks[s] = _marks(s, k)
+            batch = batch[_may_reach([marks[s] for s in batch["x"]], [marks[s] for s in batch["y"]], least)]
+            both = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                u, v = ({s[i : i + k] for i in range(len(s) - k + 1)} for s in (x, y))
+                both.append(len(u & v) / len(u | v))
+            yield batch.assign(jaccard=both)[[j >= least - 1e-12 for j in both]]
+
+    of = lambda c, t: merged(texts.select(F.col("id").alias(c), F.col("seq").alias(t)))
+    return near.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(verify, "a bigint, b bigint, x string, y string, jaccard double")
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, key: str, xyz: tuple[str, str, str], radius: float) -> DataFrame:
     """(l, r, distance) of all points of left and right within radius, by a grid of cells of that size.
 

@@ -83,9 +83,9 @@ with s as (select aa_seq, min(row_id) as id from sample_multilabel where length(
 p as (select x.id as a, y.id as b, count(*) as s from k x join k y on x.k = y.k and x.id < y.id group by all)
 select a, b, round(s / (m.n + o.n - s), 6) as jaccard from p join n m on m.id = a join n o on o.id = b where s / (m.n + o.n - s) >= 0.5""")
 def kmer_blocked_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of distinct sequences whose 5-mer sets reach 0.5: blocked by rare-first prefixes, verified exactly."""
+    """All pairs of distinct sequences whose 5-mer sets reach 0.5: met on stretches of 5-mers, verified exactly."""
     s = table(spark, sf, "sample_multilabel").where(F.length("aa_seq") >= 5).groupBy("aa_seq").agg(F.min("row_id").alias("id"))
-    return similarity.prefix_pairs(s.select("id", similarity.kmers(F.col("aa_seq"), 5).alias("k")), "id", "k", 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return similarity.window_pairs(s, "id", "aa_seq", 5, 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query()
