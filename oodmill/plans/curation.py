@@ -92,9 +92,7 @@ def kmer_blocked_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def aligned_identity(spark: SparkSession, sf: str) -> DataFrame:
     """Alignment identity of the pairs that k-mers bring together."""
     s = table(spark, sf, "sample_multilabel").where(F.length("aa_seq") >= 5).groupBy("aa_seq").agg(F.min("row_id").alias("id"))
-    held = cut(s)
-    pairs = similarity.prefix_pairs(held.select("id", similarity.kmers(F.col("aa_seq"), 5).alias("k")), "id", "k", 0.5)
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("aa_seq").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("aa_seq").alias("y")), "b")
+    both = cut(similarity.window_pairs(s, "id", "aa_seq", 5, 0.5))
     return alignment.with_identity(both, "x", "y").select("a", "b", F.round("identity", 6).alias("identity"))
 
 

@@ -47,7 +47,7 @@ def test_candidates_miss_no_pair(spark, limits):
     assert want <= got
 
 
-@pytest.mark.parametrize("query", [curation.kmer_blocked_dedup])
+@pytest.mark.parametrize("query", [curation.kmer_blocked_dedup, curation.aligned_identity])
 def test_sequences_are_not_broadcast(spark, sf, query):
     df = query(spark, sf)
     df.collect()
