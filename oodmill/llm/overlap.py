@@ -1,4 +1,4 @@
-"""Same or near-same records across splits: training streamed through compressed indexes of evaluation shards."""
+"""Same or near-same records across splits: training streamed through compressed indexes of the evaluation shards it meets."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oodmill.llm import routes
 from oodmill.session import cut, merged, parallelism
 
 SORTED = 12  # letters by which suffixes are ordered: 12 letters of 5 bits fill a 60-bit key
@@ -237,53 +238,76 @@ def search_block(train: pd.DataFrame, shard: pd.DataFrame, k: int, least: float,
 FOUND = {"train_class": "int64", "eval_class": "int64", "shared": "int64", "containment": "float64", "covered": "int64", "longest": "int64", "matches": "int64"}
 
 
+def handed_out(plan: DataFrame, k: int, shard_letters: int, block_letters: int) -> tuple[DataFrame, DataFrame, int]:
+    """(training sequences by shard and block, evaluation sequences by shard and block, number of both): training goes only
+    to the shards where it meets a sequence, and only evaluation sequences that are met are indexed."""
+    spark = plan.sparkSession
+    pairs = routes.routes(plan, k).select(F.col("a").alias("train_class"), F.col("b").alias("eval_class"))
+    seqs = lambda side, c: plan.where(side).select(F.col("id").alias(c), "seq")
+    size = lambda d, side, c: d.join(merged(plan.where(side).select(F.col("id").alias(c), F.length("seq").alias("n"))), c).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    evals = pairs.select("eval_class").distinct()
+    letters = size(evals, "in_right", "eval_class")
+    shards = max(1, ceil(letters / shard_letters), min(ceil(letters / 250_000), parallelism(spark)))
+    trains = pairs.select("train_class", deal("eval_class", shards).alias("train_shard")).distinct()
+    blocks = max(1, ceil(size(trains, "in_left", "train_class") / shards / block_letters))
+    left = trains.join(merged(seqs("in_left", "train_class")), "train_class").select("train_class", F.col("seq").alias("train_seq"), "train_shard", deal("train_class", blocks).alias("train_block"))
+    every = F.explode(F.array(*[F.lit(i) for i in range(blocks)])).alias("eval_block")
+    right = evals.join(merged(seqs("in_right", "eval_class")), "eval_class").select("eval_class", F.col("seq").alias("eval_seq"), every, deal("eval_class", shards).alias("eval_shard"))
+    return left, right, shards * blocks
+
+
+def _searched(plan: DataFrame, k: int, least: float, shard_letters: int, block_letters: int) -> DataFrame:
+    left, right, tasks = handed_out(plan, k, shard_letters, block_letters)
+    schema = "train_class bigint, eval_class bigint, shared bigint, containment double, covered bigint, longest bigint, matches bigint"
+    # a stated number of partitions is not coalesced: one task a shard and block, as far as hashing allows
+    left, right = left.repartition(2 * tasks, "train_shard", "train_block"), right.repartition(2 * tasks, "eval_shard", "eval_block")
+    both = left.groupBy("train_shard", "train_block").cogroup(right.groupBy("eval_shard", "eval_block"))
+    return both.applyInPandas(lambda a, b: search_block(a, b, k, least), schema)
+
+
+def planned_sides(train: DataFrame, held_out: DataFrame, k: int, least: float) -> DataFrame:
+    side = lambda d, left: d.select(F.col("class_id").alias("id"), "seq", F.lit(left).alias("in_left"), F.lit(not left).alias("in_right"))
+    both = side(train, True).unionByName(side(held_out, False))
+    return routes.planned(both, both.select("id", "seq"), k, least)
+
+
 def alike_across(
     train: DataFrame, held_out: DataFrame, k: int = 5, least: float = 0.8, shard_letters: int = 4_000_000, block_letters: int = 16_000_000
 ) -> DataFrame:
     """Pairs (train_class, eval_class, shared, containment, covered, longest, matches) of distinct sequences, where at least
     `least` of the distinct k-letter windows of the sequence with fewer of them occur in the other.
 
-    Both inputs: class_id, seq (upper-case letters). Evaluation classes are dealt to shards, training classes to
-    blocks, both of bounded size; each task indexes one shard and streams one block through backward search. This is
-    exact: every window hit is located and counted. covered and longest describe the merged spans in the training
+    Both inputs: class_id, seq (upper-case letters). Sequences that meet on stretches (`routes`) are brought together:
+    evaluation classes are dealt to shards of bounded size, and each task indexes one shard and streams past it, by
+    backward search, the training classes that meet something there. This is exact: no true pair misses the other's
+    shard, and every window hit is located and counted. covered and longest describe the merged spans in the training
     sequence. Sequences shorter than k have no window and no pair.
     """
-    spark = train.sparkSession
-    size = lambda d: d.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
-    letters = size(train)
-    shards = max(1, ceil(size(held_out) / shard_letters))
-    blocks = max(1, ceil(letters / block_letters), min(ceil(letters / 1_000_000), ceil(parallelism(spark) / shards)))
-    deal = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
-    every = lambda n, name: F.explode(F.array(*[F.lit(i) for i in range(n)])).alias(name)
-    left = train.where(F.length("seq") >= k).select(F.col("class_id").alias("train_class"), F.col("seq").alias("train_seq"), deal(blocks).alias("train_block"), every(shards, "train_shard"))
-    right = held_out.where(F.length("seq") >= k).select(F.col("class_id").alias("eval_class"), F.col("seq").alias("eval_seq"), every(blocks, "eval_block"), deal(shards).alias("eval_shard"))
-    schema = "train_class bigint, eval_class bigint, shared bigint, containment double, covered bigint, longest bigint, matches bigint"
-    # a stated number of partitions is not coalesced: one task a shard and block, as far as hashing allows
-    places = 2 * shards * blocks
-    left, right = left.repartition(places, "train_shard", "train_block"), right.repartition(places, "eval_shard", "eval_block")
-    tasks = left.groupBy("train_shard", "train_block").cogroup(right.groupBy("eval_shard", "eval_block"))
-    return tasks.applyInPandas(lambda a, b: search_block(a, b, k, least), schema)
+    return _searched(planned_sides(train, held_out, k, least), k, least, shard_letters, block_letters)
 
 
-def cross_split_pairs(df: DataFrame, row: str, ident: Column, seq: Column, split: Column, k: int = 5, least: float = 0.8) -> DataFrame:
+def cross_split_pairs(df: DataFrame, row: str, ident: Column, seq: Column, split: Column, k: int = 5, least: float = 0.8, shard_letters: int = 4_000_000, block_letters: int = 16_000_000) -> DataFrame:
     """(train_row, eval_row, same_id, containment, covered, longest, matches): records of train found again in val or test.
 
     ident and seq come cleaned (NULL where there is none); split is one of train, val, test, else the row is no
     case. A pair is found by equal ident or by its sequences; fields that do not apply are NULL. Repeated rows are
-    rows; an empty table gives no pair.
+    rows; an empty table gives no pair. df is read several times, so it should be a table or cut: sequences are kept
+    once in the shared folder, one a class, and rows only with their class.
     """
-    base = cut(df.select(F.col(f"`{row}`").alias("row_id"), ident.alias("ident"), seq.alias("seq"), split.alias("split")).where("split in ('train', 'val', 'test')"))
-    train = base.where("split = 'train'")
-    held = base.where("split <> 'train'")
-    named = train.where("ident is not null").select("ident", F.col("row_id").alias("train_row")).join(merged(held.select("ident", F.col("row_id").alias("eval_row"))), "ident").drop("ident")
-    classes = cut(
-        base.where("seq is not null")
-        .groupBy("seq")
-        .agg(F.min("row_id").alias("class_id"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
-    )
-    found = alike_across(classes.where("in_train"), classes.where("in_eval"), k, least)
-    member = lambda side, c, r: side.join(merged(classes.select("seq", "class_id")), "seq").select(F.col("class_id").alias(c), F.col("row_id").alias(r))
+    base = df.select(F.col(f"`{row}`").alias("row_id"), ident.alias("ident"), seq.alias("seq"), split.alias("split")).where("split in ('train', 'val', 'test')")
+    texts = base.where("seq is not null")
+    classes = texts.groupBy("seq").agg(F.min("row_id").alias("id"), F.max(F.col("split") == "train").alias("in_left"), F.max(F.col("split") != "train").alias("in_right"))
+    plan = routes.planned(classes, texts.select(F.col("row_id").alias("id"), "seq"), k, least)
+    # rows without a sequence meet nothing, each on a key of its own
+    keyed = base.select("row_id", "ident", "split", F.coalesce("seq", F.col("row_id").cast("string")).alias("seq"))
+    members = cut(keyed.join(merged(plan.select("seq", "id")), "seq", "left").select("id", "row_id", "ident", "split"))
+    routes.freed(df.sparkSession)
+    found = _searched(plan, k, least, shard_letters, block_letters)
+    train, held = members.where("split = 'train'").withColumnRenamed("row_id", "train_row"), members.where("split <> 'train'").withColumnRenamed("row_id", "eval_row")
+    same = train.where("ident is not null").select("ident", "train_row").join(merged(held.where("ident is not null").select("ident", "eval_row")), "ident")
+    member = lambda side, c, r: side.where("id is not null").select(F.col("id").alias(c), r)
     alike = found.join(merged(member(train, "train_class", "train_row")), "train_class").join(merged(member(held, "eval_class", "eval_row")), "eval_class")
-    both = named.select("train_row", "eval_row", F.lit(True).alias("same_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("containment", "double"), ("covered", "bigint"), ("longest", "bigint"), ("matches", "bigint"))])
+    both = same.select("train_row", "eval_row", F.lit(True).alias("same_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("containment", "double"), ("covered", "bigint"), ("longest", "bigint"), ("matches", "bigint"))])
     rows = both.unionByName(alike.select("train_row", "eval_row", F.lit(False).alias("same_id"), "containment", "covered", "longest", "matches"))
     return rows.groupBy("train_row", "eval_row").agg(F.max("same_id").alias("same_id"), *[F.max(c).alias(c) for c in ("containment", "covered", "longest", "matches")])
